@@ -20,11 +20,11 @@ def squared_norm(v: Column) -> Column:
 def l2_normalize(v: Column) -> Column:
     """Unit vector of ``v``; a zero vector stays zero."""
 
-    def scaled(norm: Column) -> Column:
+    def scaled(v: Column, norm: Column) -> Column:
         unit = F.transform(v, lambda x: (x.cast("double") / norm).cast("float"))
         return F.when(norm == 0, v.cast("array<float>")).otherwise(unit)
 
-    return let(F.sqrt(squared_norm(v)), scaled)
+    return let(v, lambda v: let(F.sqrt(squared_norm(v)), lambda norm: scaled(v, norm)))
 
 
 def euclidean(a: Column, b: Column) -> Column:

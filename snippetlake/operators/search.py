@@ -162,13 +162,13 @@ def _blocks(vectors: DataFrame, asked: DataFrame, k: int, payload: list[str], ou
     spread_v = F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))
     spread_q = F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)))
     left = vectors.select(*payload, "embedding", F.pmod(F.xxhash64("vector_id"), F.lit(n_v)).cast("int").alias("vb"), spread_v.alias("qb"))
-    right = asked.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), spread_q.alias("vb"))
+    right = asked.select("query_id", F.col("embedding").alias("vec"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), spread_q.alias("vb"))
     schema = to_arrow_schema(out)
 
     def pair(v: pa.Table, q: pa.Table) -> pa.Table:
         if v.num_rows == 0 or q.num_rows == 0:
             return schema.empty_table()
-        leaders = _Leaders(q["query_id"].to_numpy(), matrix(q["embedding"]), k, schema)
+        leaders = _Leaders(q["query_id"].to_numpy(), matrix(q["vec"]), k, schema)
         leaders.add(v.select(payload + ["embedding"]), "embedding")
         return leaders.result()
 
