@@ -212,9 +212,9 @@ SQL: dict[str, str] = {
     "connected_components": f"""WITH RECURSIVE {_PAIRS}, edges AS (SELECT a AS u, b AS v FROM pairs UNION ALL SELECT b, a FROM pairs),
         reach(node, other) AS (SELECT u, u FROM edges UNION SELECT r.node, e.v FROM reach r JOIN edges e ON r.other = e.u)
         SELECT node, min(other) AS component FROM reach GROUP BY node""",
-    "nearest_neighbour": f"""WITH {_PAIRS}, both AS (SELECT a AS id, b AS partner, distance FROM pairs UNION ALL SELECT b, a, distance FROM pairs)
+    "nearest_neighbour": f"""WITH {_PAIRS}, each AS (SELECT a AS id, b AS partner, distance FROM pairs UNION ALL SELECT b, a, distance FROM pairs)
         SELECT id, partner, round(distance, 6) AS distance FROM (
-        SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, partner) AS r FROM both) WHERE r = 1""",
+        SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, partner) AS r FROM each) WHERE r = 1""",
     "dup_vectors": f"WITH {_POINTS} SELECT cluster_id AS vector_id, any_value(size) AS copies FROM points GROUP BY cluster_id",
     "identical_clusters": f"""{_identical("count(*) >= 3 AND min(line_count) > 3")}
         SELECT cluster_no, cluster_id, doc_id AS vector_id, path, line, line_count FROM members""",
