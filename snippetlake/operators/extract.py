@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.binding import let
 from ..functions.text import dedent_lines, slice_lines, split_lines
 from ..functions.trees import FUNCTION_NODE_TYPES, node_spans
+from .joins import left_join_present
 
 
 def functions_per_file(files: DataFrame, node_types: Sequence[str] = FUNCTION_NODE_TYPES) -> DataFrame:
@@ -39,9 +40,14 @@ def functions_per_file(files: DataFrame, node_types: Sequence[str] = FUNCTION_NO
 
 
 def explode_functions(per_file: DataFrame) -> DataFrame:
-    """``(…, ord, line, end_line, text)``; files without functions vanish here."""
+    """``(…, ord, line, end_line, text)``; files without functions vanish here.
+
+    The outer form is meant: for the inner one the optimizer adds a test for non-empty
+    arrays below the projection, which would extract everything twice.
+    """
     rest = [c for c in per_file.columns if c != "functions"]
-    return per_file.select(*rest, F.posexplode("functions").alias("ord", "fn")).select(
+    every = per_file.select(*rest, F.posexplode_outer("functions").alias("ord", "fn")).filter(F.col("ord").isNotNull())
+    return every.select(
         *rest, "ord", F.col("fn.line").alias("line"), F.col("fn.end_line").alias("end_line"), F.col("fn.text").alias("text")
     )
 
@@ -49,7 +55,7 @@ def explode_functions(per_file: DataFrame) -> DataFrame:
 def join_trees(entries: DataFrame, sources: DataFrame, trees: DataFrame) -> DataFrame:
     """Manifest entries with their source and, if there is one, their tree."""
     by_tree = trees.select(F.col("path").alias("tree_path"), "tree")
-    return entries.join(sources, "path").join(by_tree, "tree_path", "left").drop("tree_path")
+    return left_join_present(entries.join(sources, "path"), by_tree, "tree_path").drop("tree_path")
 
 
 def extract_functions(entries: DataFrame, sources: DataFrame, trees: DataFrame, node_types: Sequence[str] = FUNCTION_NODE_TYPES) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import paths as P
 from ..functions import text as X
 from ..functions.vectors import l2_normalize
 from ..operators import changes, clusters, components, context, encode, extract, maintenance, nearjoin, numbering, report, search, ward
-from ..session import cut, shared_dir
+from ..session import cut, shared_dir, spread
 from ..sources import manifest as M
 from ..sources.store import VectorStore
 from ..streaming import ingest_stream
@@ -134,12 +134,12 @@ def function_text_50(spark, sf):
 def vector_normalize(spark, sf):
     scaled = F.transform("embedding", lambda x: (x * 3).cast("float"))
     unit = D.table(spark, sf, "embeddings").select("vec_id", l2_normalize(scaled).alias("e"))
-    return unit.select("vec_id", F.posexplode("e").alias("pos", "value")).select("vec_id", "pos", F.round(F.col("value").cast("double"), 6).alias("value"))
+    return unit.select("vec_id", F.posexplode_outer("e").alias("pos", "value")).select("vec_id", "pos", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 def hash_encode(spark, sf):
-    rows = encode.encode_texts(D.text_table(spark, sf).select("vector_id", "text"), encode.hash_encoder())
-    sparse = rows.select("vector_id", F.posexplode("embedding").alias("bucket", "value")).filter("value <> 0")
+    rows = encode.encode_texts(spread(D.text_table(spark, sf).select("vector_id", "text")), encode.hash_encoder())
+    sparse = rows.select("vector_id", F.posexplode_outer("embedding").alias("bucket", "value")).filter("value <> 0")
     return sparse.select("vector_id", "bucket", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
@@ -293,7 +293,7 @@ def search_all_pairs_of_blocks(spark, sf):
 
 def text_search(spark, sf):
     encoder = encode.hash_encoder()
-    vectors = encode.encode_texts(D.text_table(spark, sf).select("vector_id", "path", "line", "text"), encoder)
+    vectors = encode.encode_texts(spread(D.text_table(spark, sf)), encoder)
     return _hit_columns(search.top_k(vectors, search.text_queries(D.benchmark_queries(spark, sf), encoder)))
 
 
@@ -331,7 +331,7 @@ def nearest_neighbour(spark, sf):
 
 
 def _encoded_documents(spark, sf):
-    return encode.encode_texts(D.text_table(spark, sf), encode.hash_encoder())
+    return encode.encode_texts(spread(D.text_table(spark, sf)), encode.hash_encoder())
 
 
 def dup_vectors(spark, sf):

@@ -27,6 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named or current
 
 
+def _cut_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/snippetlake-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return it with its lineage cut there.
 
@@ -34,11 +38,25 @@ def cut(df: DataFrame) -> DataFrame:
     lose nothing.
     """
     spark = df.sparkSession
-    target = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    target = f"{_cut_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Repartition a plain scan that has fewer splits than there are cores, before work
+    that costs much more than reading. A large table has enough splits and is left alone."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application from the shared folder."""
+    jvm, target = spark.sparkContext._jvm, _cut_folder(spark)
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application. Not needed where
     it is installed on the cluster or passed with ``--py-files``."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import normalize_path
+from ..operators.joins import left_join_present
 from ..schema import MANIFEST_JSON
 
 
@@ -48,7 +49,7 @@ def manifest_rejects(entries: DataFrame, sources: DataFrame, trees: DataFrame, r
     )
     have_source = sources.select("path", F.lit(True).alias("has_source"))
     have_tree = trees.select(F.col("path").alias("tree_path"), F.lit(True).alias("has_tree"))
-    joined = norm.join(have_source, "path", "left").join(have_tree, "tree_path", "left")
+    joined = left_join_present(left_join_present(norm, have_source, "path"), have_tree, "tree_path")
     reason = (
         F.when(F.col("path").isNull(), "no path")
         .when(F.col("has_source").isNull(), "source not found")
