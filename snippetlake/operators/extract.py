@@ -52,12 +52,14 @@ def explode_functions(per_file: DataFrame) -> DataFrame:
     )
 
 
-def join_trees(entries: DataFrame, sources: DataFrame, trees: DataFrame) -> DataFrame:
-    """Manifest entries with their source and, if there is one, their tree."""
+def join_trees(entries: DataFrame, sources: DataFrame, trees: DataFrame, missing: bool = True) -> DataFrame:
+    """Manifest entries with their source and tree; ``missing`` keeps those without a tree."""
     by_tree = trees.select(F.col("path").alias("tree_path"), "tree")
-    return left_join_present(entries.join(sources, "path"), by_tree, "tree_path").drop("tree_path")
+    found = entries.join(sources, "path")
+    joined = left_join_present(found, by_tree, "tree_path") if missing else found.join(by_tree, "tree_path")
+    return joined.drop("tree_path")
 
 
 def extract_functions(entries: DataFrame, sources: DataFrame, trees: DataFrame, node_types: Sequence[str] = FUNCTION_NODE_TYPES) -> DataFrame:
-    files = join_trees(entries, sources, trees).filter(F.col("tree").isNotNull())
-    return explode_functions(functions_per_file(files.select("path", "content", "tree"), node_types))
+    files = join_trees(entries, sources.select("path", "content"), trees, missing=False)
+    return explode_functions(functions_per_file(files, node_types))

@@ -104,7 +104,7 @@ def deleted_files(spark, sf):
 
 def _files_with_trees(spark, sf):
     entries = M.usable_entries(D.manifest(spark, sf))
-    return extract.join_trees(entries, D.sources(spark, sf).select("path", "content"), D.trees(spark, sf)).filter(F.col("tree").isNotNull())
+    return extract.join_trees(entries, D.sources(spark, sf).select("path", "content"), D.trees(spark, sf), missing=False)
 
 
 def extract_functions(spark, sf):

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+from ..session import spread
+
 BASE_SECONDS = 1704067200
 
 
@@ -29,7 +32,7 @@ def document_content() -> Column:
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, path, content, md5, mtime)``, one source file per document."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(
         "doc_id",
         document_path().alias("path"),
@@ -45,10 +48,8 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree_text(n_lines: Column, doc_id: Column) -> Column:
     """Parse tree of a document with ``n_lines`` lines."""
-    last = (n_lines - 1).cast("int")
 
-    def block(i: Column) -> Column:
-        start, end = i * 3, F.least(i * 3 + 2, last)
+    def block(i: Column, start: Column, end: Column) -> Column:
         span = F.when((doc_id % 17 == 0) & (i == 0), F.lit("")).otherwise(F.format_string(" [%d, 0] - [%d, 9]", start, end))
         nested = F.when(
             (i % 2 == 0) & (end > start),
@@ -56,10 +57,14 @@ def tree_text(n_lines: Column, doc_id: Column) -> Column:
         ).otherwise(F.lit(""))
         return F.concat(F.lit("\n (function_definition"), span, F.format_string("\n  name: (identifier [%d, 4] - [%d, 7])", start, start), nested, F.lit(")"))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(last / 3).cast("int")), block)
     broken = F.when(doc_id % 11 == 0, F.lit('\n (MISSING ";" [0, 0] - [0, 0])')).otherwise(F.lit(""))
     tail = F.when(doc_id % 13 == 0, F.lit("\nfile.x  Parse: 0.05 ms (ERROR [0, 0] - [0, 1])")).otherwise(F.lit(""))
-    return F.concat(F.format_string("(module [0, 0] - [%d, 0]", last), F.array_join(blocks, ""), broken, F.lit(")"), tail)
+
+    def tree(last: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(last / 3).cast("int")), lambda i: block(i, i * 3, F.least(i * 3 + 2, last)))
+        return F.concat(F.format_string("(module [0, 0] - [%d, 0]", last), F.array_join(blocks, ""), broken, F.lit(")"), tail)
+
+    return let((n_lines - 1).cast("int"), tree)
 
 
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +76,7 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An entry per document, some without a path or a tree, and one missing file per source."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     path = document_path("/proj/./lib/../")
     entries = d.select(
         F.when(F.col("doc_id") % 23 == 0, "").otherwise(path).alias("path"),
