@@ -58,15 +58,8 @@ def current_vectors(vectors_log: DataFrame, files_log: DataFrame) -> DataFrame:
 
 
 def file_records(per_file: DataFrame) -> DataFrame:
-    """Records with the vector ids and lines of each file as arrays, from rows that hold a
-    file's functions and its first id; nothing is gathered across rows."""
-    n = F.size("functions")
+    """Records with the vector ids and lines of each file as arrays, from rows that hold
+    ``function_lines`` and the file's first id ``offset``; nothing is gathered across rows."""
+    n = F.size("function_lines")
     ids = F.when(n > 0, F.sequence(F.col("offset"), F.col("offset") + n - 1)).otherwise(F.array().cast("array<bigint>"))
-    return per_file.select(
-        "path",
-        file_key(F.col("path")).alias("file_key"),
-        "md5",
-        "mtime",
-        ids.alias("vector_ids"),
-        F.transform("functions", lambda f: f["line"]).alias("function_lines"),
-    )
+    return per_file.select("path", file_key(F.col("path")).alias("file_key"), "md5", "mtime", ids.alias("vector_ids"), "function_lines")

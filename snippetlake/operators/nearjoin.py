@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 
 from .arrays import matrix
 
-CHUNK_ROWS = 2048
+MIN_CHUNK_ROWS = 1024
+MAX_CHUNK_ROWS = 8192
+CHUNK_BYTES = 32 << 20
 PIVOT_BYTES = 32 << 20
 TEST_ROWS = 512
 _ROW_COST = 200.0  # shipping one row costs about as much as comparing this many pairs
@@ -90,8 +92,17 @@ class Cells:
             yield table.slice(at, step)
 
 
-def _sample(points: DataFrame, n: int, dim: int) -> np.ndarray:
-    rows = min(TEST_ROWS + max(TEST_ROWS, 4 * -(-n // CHUNK_ROWS)), max(2, PIVOT_BYTES // (8 * dim)))
+def chunk_rows(points: DataFrame, n: int) -> int:
+    """Rows per chunk: few enough to occupy all cores, else as many as memory allows, since
+    a crowded cell ships every row once per chunk."""
+    first = points.select(F.size("vec")).first()
+    dim = max(1, first[0]) if first else 1
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    return min(MAX_CHUNK_ROWS, CHUNK_BYTES // (8 * dim), max(MIN_CHUNK_ROWS, n // (2 * cores)))
+
+
+def _sample(points: DataFrame, n: int, dim: int, chunk: int) -> np.ndarray:
+    rows = min(TEST_ROWS + max(TEST_ROWS, 4 * -(-n // chunk)), max(2, PIVOT_BYTES // (8 * dim)))
     head = points.orderBy(F.xxhash64("id"), "id").limit(rows).select("vec").toArrow()
     return matrix(head["vec"])
 
@@ -101,7 +112,7 @@ def choose_cells(points: DataFrame, threshold: float, n: int, chunk: int) -> Cel
     first = points.select(F.size("vec")).first()
     if n <= chunk or first is None:
         return Cells(np.zeros((1, 1)), threshold)
-    sample = _sample(points, n, first[0])
+    sample = _sample(points, n, first[0], chunk)
     test, pool = sample[: len(sample) // 2][:TEST_ROWS], sample[len(sample) // 2 :]
     best, best_cost = Cells(sample[:1], threshold), n * n / 2.0 + _ROW_COST * n * (n / chunk)
     p = 2
@@ -313,13 +324,14 @@ def _nearest(left, right, within, weighted, t) -> pa.Table:
 _MODES = {"pairs": (_pairs, PAIRS_SCHEMA), "forest": (_forest, FOREST_SCHEMA), "nearest": (_nearest, NEAREST_SCHEMA)}
 
 
-def near_join(points: DataFrame, threshold: float, mode: str = "pairs", weighted: bool = False, chunk: int = CHUNK_ROWS, cells: Cells | None = None) -> DataFrame:
+def near_join(points: DataFrame, threshold: float, mode: str = "pairs", weighted: bool = False, chunk: int | None = None, cells: Cells | None = None) -> DataFrame:
     """Join ``points (id, weight, vec)`` with itself below ``threshold`` (strictly).
 
     ``points`` is read a few times, so callers hand in a stored table.
     """
     work, schema = _MODES[mode]
     n = points.count()
+    chunk = chunk or chunk_rows(points, n)
     placed = _count_cells(points, cells or choose_cells(points, threshold, n, chunk), chunk)
 
     def group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:

@@ -150,8 +150,11 @@ def assign_vector_ids(spark, sf):
 
 
 def files_arrays(spark, sf):
-    counted = cut(extract.functions_per_file(D.sources(spark, sf).join(D.trees(spark, sf).withColumn("path", F.regexp_replace("path", r"\.tree$", "")), "path").select("path", "md5", "mtime", "content", "tree")))
-    records = maintenance.file_records(numbering.with_offsets(counted.withColumn("n", F.size("functions")), "path", "n"))
+    trees = D.trees(spark, sf).select(F.regexp_replace("path", r"\.tree$", "").alias("path"), "tree")
+    files = D.sources(spark, sf).join(trees, "path").select("path", "md5", "mtime", "content", "tree")
+    per_file = cut(extract.functions_per_file(files))
+    lines = per_file.select("path", "md5", "mtime", F.col("functions.line").alias("function_lines")).withColumn("n", F.size("function_lines"))
+    records = maintenance.file_records(numbering.with_offsets(lines, "path", "n"))
     text = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("vector_ids", "function_lines")]
     return records.select("path", "file_key", "md5", *text)
 

@@ -134,6 +134,39 @@ kept AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS clust
 members AS (SELECT k.cluster_no, c.* FROM counted c JOIN kept k USING (cluster_id))"""
 
 
+def _ward(points: str, height: float) -> str:
+    """Rounds of mutual merges over all pairs of clusters, until no pair is below ``height``."""
+    return f"""WITH RECURSIVE {points},
+state(step, id, w, c, members) AS (
+  SELECT 0, id, w, v, [{{'id': id, 'leaf': 0.0::DOUBLE}}] FROM pts
+  UNION ALL
+  (WITH near AS (SELECT a.id AS lo, b.id AS hi, a.w AS wa, b.w AS wb,
+      2.0 * a.w * b.w / (a.w + b.w) * power(list_distance(a.c, b.c), 2) AS h2 FROM state a JOIN state b ON a.id < b.id),
+    ends AS (SELECT lo AS id, lo, hi, h2 FROM near WHERE h2 < {height * height!r} UNION ALL SELECT hi, lo, hi, h2 FROM near WHERE h2 < {height * height!r}),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY h2, lo, hi) AS r FROM ends) WHERE r = 1),
+    merges AS (SELECT lo, hi, any_value(h2) AS h2 FROM best GROUP BY lo, hi HAVING count(*) = 2)
+  SELECT a.step + 1, a.id, a.w + b.w, [(x[1] * a.w + x[2] * b.w) / (a.w + b.w) FOR x IN list_zip(a.c, b.c)],
+    CASE WHEN a.w = 1 AND b.w = 1 THEN [{{'id': a.id, 'leaf': sqrt(h2)}}, {{'id': b.id, 'leaf': sqrt(h2)}}]
+      ELSE list_concat(a.members, b.members) END
+  FROM merges JOIN state a ON a.id = lo JOIN state b ON b.id = hi
+  UNION ALL
+  SELECT s.step + 1, s.id, s.w, s.c, s.members FROM state s
+  WHERE s.id NOT IN (SELECT lo FROM merges UNION ALL SELECT hi FROM merges) AND EXISTS (SELECT 1 FROM merges))),
+last AS (SELECT id AS cluster_id, w AS size, unnest(members) AS m FROM state WHERE step = (SELECT max(step) FROM state))"""
+
+
+_DENSE = f"""{_encoded('documents', 'doc_id', 'enc')},
+dense AS (SELECT doc_id, list(coalesce(value, 0.0) ORDER BY b) AS v FROM (SELECT DISTINCT doc_id FROM enc)
+  CROSS JOIN (SELECT unnest(range(256)) AS b) LEFT JOIN (SELECT doc_id, bucket AS b, value FROM enc) USING (doc_id, b) GROUP BY doc_id),
+pts AS (SELECT min(doc_id) AS id, count(*) AS w, v FROM dense GROUP BY v)"""
+
+_WARD = f"""{_ward(_DENSE, 0.2)},
+points AS (SELECT cluster_id, size, m.id AS id, m.leaf AS leaf FROM last WHERE size > 1),
+found AS (SELECT cluster_id, any_value(size) AS size, max(leaf) FILTER (WHERE p.id = cluster_id) AS first_merge_distance,
+  sum(b.w * list_distance(a.v, b.v)) / (any_value(size) - 1) AS avg_distance
+  FROM points p JOIN pts a ON a.id = cluster_id JOIN pts b ON b.id = p.id GROUP BY cluster_id)"""
+
+
 SQL: dict[str, str] = {
     "manifest_scan": f"""SELECT {_DOC_PATH} AS path, CASE WHEN doc_id % 19 <> 0 THEN {_DOC_PATH} || '.tree' END AS tree_path
         FROM documents WHERE doc_id % 23 <> 0
@@ -216,6 +249,18 @@ SQL: dict[str, str] = {
         SELECT id, partner, round(distance, 6) AS distance FROM (
         SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, partner) AS r FROM each) WHERE r = 1""",
     "dup_vectors": f"WITH {_POINTS} SELECT cluster_id AS vector_id, any_value(size) AS copies FROM points GROUP BY cluster_id",
+    "ward_labels": f"""{_ward("pts AS (SELECT vec_id AS id, 1 AS w, embedding::DOUBLE[] AS v FROM embeddings)", 1.2)}
+        SELECT m.id AS vector_id, cluster_id FROM last""",
+    "ward_clusters": f"""{_WARD} SELECT cluster_id, size, round(first_merge_distance, 6) AS first_merge_distance,
+        round(avg_distance, 6) AS avg_distance FROM found""",
+    "cluster_filters": f"""{_WARD},
+        owners AS (SELECT p.cluster_id, d.doc_id FROM points p JOIN pts ON pts.id = p.id JOIN dense d ON d.v = pts.v),
+        opened AS (SELECT o.cluster_id, doc_id, {_DOC_PATH} AS path, 0 AS line, string_split(text, chr(10)) AS ls FROM owners o JOIN documents USING (doc_id)),
+        texts AS (SELECT *, len(string_split({_rstrip(_TEXT50.format(n=_readable('ls')))}, chr(10))) AS line_count FROM opened),
+        kept AS (SELECT f.cluster_id, f.size, f.first_merge_distance, row_number() OVER (ORDER BY f.cluster_id) - 1 AS cluster_no FROM found f
+          WHERE first_merge_distance <> 0 AND (SELECT min(line_count) FROM texts t WHERE t.cluster_id = f.cluster_id) > 2)
+        SELECT cluster_no, cluster_id, size, round(first_merge_distance, 6) AS avg_distance, doc_id AS vector_id, path, line, line_count
+        FROM kept JOIN texts USING (cluster_id)""",
     "identical_clusters": f"""{_identical("count(*) >= 3 AND min(line_count) > 3")}
         SELECT cluster_no, cluster_id, doc_id AS vector_id, path, line, line_count FROM members""",
     "cluster_report": f"""{_identical("min(line_count) > 0")}
