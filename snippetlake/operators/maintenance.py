@@ -33,28 +33,11 @@ def vector_ids_of_files(functions: DataFrame, paths: DataFrame) -> DataFrame:
     return functions.join(paths.select("path").distinct(), "path", "left_semi").select("path", "vector_id")
 
 
-def latest_batches(files_log: DataFrame) -> DataFrame:
-    """``(path, batch_id)`` of the last word on each path."""
-    return files_log.groupBy("path").agg(F.max("batch_id").alias("batch_id"))
-
-
-def current_files(files_log: DataFrame) -> DataFrame:
-    """File records in force: the last one per path unless it deletes the path."""
-    return files_log.join(latest_batches(files_log), ["path", "batch_id"]).filter("op = 'put'")
-
-
-def superseded(files_log: DataFrame) -> DataFrame:
-    """``(path, batch_id)`` whose vectors are no longer in force."""
-    narrow = files_log.select("path", "batch_id", "op")
-    last = narrow.groupBy("path").agg(F.max("batch_id").alias("last"))
-    old = narrow.join(last, "path").filter((F.col("batch_id") < F.col("last")) & (F.col("op") == "put"))
-    return old.select("path", "batch_id")
-
-
-def current_vectors(vectors_log: DataFrame, files_log: DataFrame) -> DataFrame:
-    """Vectors in force. The anti join's right side holds only what later batches
-    replaced: small, usually broadcast, and empty after compaction."""
-    return vectors_log.join(superseded(files_log), ["path", "batch_id"], "left_anti")
+def in_force(log: DataFrame, superseded: DataFrame) -> DataFrame:
+    """Rows of a log that no later batch replaced. ``superseded (path, old_batch_id)`` is
+    what the later batches wrote down: small, usually broadcast, empty after compaction."""
+    old = superseded.select("path", F.col("old_batch_id").alias("batch_id"))
+    return log.join(old, ["path", "batch_id"], "left_anti")
 
 
 def file_records(per_file: DataFrame) -> DataFrame:

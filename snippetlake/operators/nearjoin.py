@@ -107,13 +107,26 @@ def _sample(points: DataFrame, n: int, dim: int, chunk: int) -> np.ndarray:
     return matrix(head["vec"])
 
 
+def _apart(x: np.ndarray, gap: float) -> np.ndarray:
+    """Rows of ``x`` that are at least ``gap`` from all rows kept before them: pivots closer
+    than the threshold would split a crowded place without separating any of it."""
+    kept = np.empty_like(x)
+    n = 0
+    for row in x:
+        if n == 0 or squared_distances(row[None], kept[:n]).min() >= gap * gap:
+            kept[n] = row
+            n += 1
+    return kept[:n]
+
+
 def choose_cells(points: DataFrame, threshold: float, n: int, chunk: int) -> Cells:
     """Try numbers of pivots on a bounded sample and keep the cheapest."""
     first = points.select(F.size("vec")).first()
     if n <= chunk or first is None:
         return Cells(np.zeros((1, 1)), threshold)
     sample = _sample(points, n, first[0], chunk)
-    test, pool = sample[: len(sample) // 2][:TEST_ROWS], sample[len(sample) // 2 :]
+    half = min(TEST_ROWS, len(sample) // 2)
+    test, pool = sample[:half], _apart(sample[half:], threshold)
     best, best_cost = Cells(sample[:1], threshold), n * n / 2.0 + _ROW_COST * n * (n / chunk)
     p = 2
     while p <= len(pool):

@@ -96,7 +96,7 @@ def change_plan_force(spark, sf):
 
 
 def deleted_files(spark, sf):
-    return changes.deleted_files(D.snapshot(spark, sf, 1), D.snapshot(spark, sf, 2))
+    return changes.deleted_files(D.snapshot(spark, sf, 1).select("path"), D.snapshot(spark, sf, 2))
 
 
 # Extraction and text

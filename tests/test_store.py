@@ -75,7 +75,7 @@ def test_uncommitted_batch_is_invisible_and_retried(spark, store, monkeypatch):
     v2 = files(spark, ("/a", "y", 9, ONE), ("/b", "z", 0, ONE))
     real = VectorStore.write_batch
 
-    def dies(self, generation, batch_id, records, vectors, commit):
+    def dies(self, generation, batch_id, records, vectors, superseded, commit):
         vectors.write.mode("overwrite").parquet(f"{self.path}/vectors/generation={generation}/batch_id={batch_id}")
         raise RuntimeError("lost")
 
