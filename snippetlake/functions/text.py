@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .binding import let
 
+# Lines around a hit, lines of a cluster member, text where there is no source.
 CONTEXT_LINES = 2
 FUNCTION_LINES = 50
+UNREADABLE = "# Could not read file: "
 
 
 def normalize_newlines(text: Column) -> Column:
@@ -100,7 +102,7 @@ def function_text(lines: Column, line: Column, path: Column) -> Column:
     start = F.greatest(line, F.lit(0))
     end = F.least(start + FUNCTION_LINES, F.size(lines))
     text = rstrip(F.array_join(F.slice(lines, start + 1, F.greatest(end - start, F.lit(0))), "\n"))
-    return F.coalesce(text, F.concat(F.lit("# Could not read file: "), path))
+    return F.coalesce(text, F.concat(F.lit(UNREADABLE), path))
 
 
 def indent(text: Column, prefix: str = "    ") -> Column:
