@@ -65,7 +65,7 @@ class _Leaders:
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, schema: pa.Schema):
         self.ids, self.q, self.k, self.schema = ids, queries.astype("float64").T, k, schema
         self.floor = np.full(len(ids), -np.inf)
-        self.parts: list[tuple[np.ndarray, np.ndarray, pa.Table]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]] = []
         self.held = 0
 
     def add(self, batch: pa.Table, vec: str) -> None:
@@ -74,41 +74,42 @@ class _Leaders:
             self._add(batch.slice(at, step), vec)
 
     def _add(self, rows: pa.Table, vec: str) -> None:
-        scores = np.round(matrix(rows[vec]) @ self.q, SCORE_DECIMALS)
-        if len(scores) > self.k:
-            kth = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
+        scores = matrix(rows[vec]) @ self.q
+        keys = np.round(scores, SCORE_DECIMALS)
+        if len(keys) > self.k:
+            kth = np.partition(keys, len(keys) - self.k, axis=0)[len(keys) - self.k]
             self.floor = np.maximum(self.floor, kth)
-        r, q = np.nonzero(scores >= self.floor)
+        r, q = np.nonzero(keys >= self.floor)
         if len(r) == 0:
             return
-        self.parts.append((q, scores[r, q], rows.drop_columns([vec]).take(pa.array(r))))
+        self.parts.append((q, keys[r, q], scores[r, q], rows.drop_columns([vec]).take(pa.array(r))))
         self.held += len(r)
         if self.held > 4 * self.k * len(self.ids) + 4096:
             self.compact()
 
     def compact(self) -> None:
-        q = np.concatenate([p[0] for p in self.parts])
-        s = np.concatenate([p[1] for p in self.parts])
-        t = pa.concat_tables([p[2] for p in self.parts])
-        keep = _best(q, s, t["vector_id"].to_numpy(), self.k)
-        q, s, t = q[keep], s[keep], t.take(pa.array(keep))
+        q, key, score = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+        rows = pa.concat_tables([p[3] for p in self.parts])
+        keep = _best(q, key, rows["vector_id"].to_numpy(), self.k)
+        q, key, score, rows = q[keep], key[keep], score[keep], rows.take(pa.array(keep))
         counts = np.bincount(q, minlength=len(self.ids))
         last = np.cumsum(counts) - 1
         full = counts >= self.k
-        self.floor[full] = np.maximum(self.floor[full], s[last[full]])
-        self.parts, self.held = [(q, s, t)], len(q)
+        self.floor[full] = np.maximum(self.floor[full], key[last[full]])
+        self.parts, self.held = [(q, key, score, rows)], len(q)
 
     def result(self) -> pa.Table | None:
         if not self.parts:
             return None
         self.compact()
-        q, s, t = self.parts[0]
-        head = [pa.array(self.ids[q], pa.int64()), pa.array(s, pa.float64())]
-        return pa.Table.from_arrays(head + [c.cast(f.type) for c, f in zip(t.columns, list(self.schema)[2:])], schema=self.schema)
+        q, key, score, rows = self.parts[0]
+        head = [pa.array(self.ids[q], pa.int64()), pa.array(key, pa.float64()), pa.array(score, pa.float64())]
+        body = [c.cast(f.type) for c, f in zip(rows.columns, list(self.schema)[len(head) :])]
+        return pa.Table.from_arrays(head + body, schema=self.schema)
 
 
 def _rank(candidates: DataFrame, k: int, payload: list[str]) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vector_id"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("rank_key"), F.col("vector_id"))
     return (
         candidates.withColumn("rank", F.row_number().over(w))
         .filter(F.col("rank") <= k)
@@ -126,7 +127,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, max_broadc
     if k < 1:
         raise ValueError("k must be at least 1")
     payload = [c for c in vectors.columns if c != "embedding"]
-    fields = [T.StructField("query_id", T.LongType()), T.StructField("score", T.DoubleType())]
+    fields = [T.StructField("query_id", T.LongType()), T.StructField("rank_key", T.DoubleType()), T.StructField("score", T.DoubleType())]
     out = T.StructType(fields + [vectors.schema[c] for c in payload])
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding")
     head = asked.limit(max_broadcast + 1).toArrow()

@@ -18,6 +18,7 @@ from ..sources.store import VectorStore
 from ..streaming import ingest_stream
 from . import derived as D
 from .ingest import upsert
+from .query import search as stored_hits
 
 EMBEDDING_DISTANCE = 1.2
 TEXT_DISTANCE = 0.2
@@ -300,6 +301,13 @@ def text_search(spark, sf):
     return _hit_columns(search.top_k(vectors, search.text_queries(D.benchmark_queries(spark, sf), encoder)))
 
 
+def stored_search(spark, sf):
+    """Ingest, then search the stored functions of two languages for all passages."""
+    store, encoder = VectorStore(spark, _scratch(spark, "store")), encode.hash_encoder()
+    upsert(store, snapshot_files(spark, sf, 1), encoder)
+    return _hit_columns(stored_hits(store, D.benchmark_queries(spark, sf), encoder, extensions=["py", "js"]))
+
+
 def hit_snippets(spark, sf):
     hits = context.with_snippets(_hits(spark, sf), D.sources(spark, sf))
     return hits.select("query_id", "rank", "path", "start_line", "end_line", "snippet")
@@ -415,6 +423,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         search_batch,
         search_all_pairs_of_blocks,
         text_search,
+        stored_search,
         hit_snippets,
         search_markdown,
         eps_join,

@@ -235,6 +235,14 @@ SQL: dict[str, str] = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored)
         SELECT item_id AS query_id, rank, round(score, 6) AS score, doc_id AS vector_id, {_DOC_PATH} AS path, 0 AS line
         FROM ranked JOIN documents USING (doc_id) WHERE rank <= 5""",
+    "stored_search": f"""WITH {_SNAPSHOTS}, {_functions('v1')},
+        ids AS (SELECT row_number() OVER (ORDER BY path, ord) - 1 AS vector_id, path, line, text FROM fn),
+        {_encoded('ids', 'vector_id', 'enc')}, {_encoded('benchmark', 'item_id', 'ask')},
+        wanted AS (SELECT item_id, vector_id FROM ids, (SELECT DISTINCT item_id FROM ask) WHERE {_EXT} IN ('py', 'js')),
+        dots AS (SELECT item_id, vector_id, sum(enc.value * ask.value) AS dot FROM ask JOIN enc USING (bucket) GROUP BY ALL),
+        scored AS (SELECT item_id, vector_id, coalesce(dot, 0) AS score FROM wanted LEFT JOIN dots USING (item_id, vector_id)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, vector_id) AS rank FROM scored)
+        SELECT item_id AS query_id, rank, round(score, 6) AS score, vector_id, path, line FROM ranked JOIN ids USING (vector_id) WHERE rank <= 5""",
     "hit_snippets": f"{_SNIPPETS} SELECT query_id, rank, path, start_line, end_line, snippet FROM shown",
     "search_markdown": f"""{_SNIPPETS}, blocks AS (SELECT query_id, string_agg(
         '## Result ' || rank || ' (score: ' || printf('%.3f', score) || ')' || chr(10) || '**File:** `' || path || ':' || (line + 1) || '`'
