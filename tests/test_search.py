@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from snippetlake.operators.encode import hash_encoder
 from snippetlake.operators.search import restrict, text_queries, top_k
