@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snippetlake.llm import secrets, urlfilter
+from snippetlake.llm import packing, secrets, tokenout, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+
+
 #: Host labels of the list that op8 blocks (fixed values).
 LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
@@ -27,6 +37,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, listed_urls(pages))
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokenout.new_folder(spark)
+    tokenout.write(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"))
+    return tokenout.read(spark, folder).withColumnRenamed("doc", "doc_id")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), secrets.new_ledger(spark), ["doc_id"])
     base = F.filter("found", lambda s: s.tag.isin([r.tag for r in secrets.BASE]))
@@ -40,6 +56,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_packing": op4_packing,
     "op8_url_filter": op8_url_filter,
+    "op9_token_output": op9_token_output,
     "op10_secret_scan": op10_secret_scan,
 }
