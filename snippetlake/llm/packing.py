@@ -3,8 +3,8 @@
 Documents become token pieces: whole sequences of ``size`` ids, and one shorter rest. The histogram of
 rest lengths, in steps of ``STEP`` ids, has at most ``size / STEP`` rows whatever the input; a linear
 program over patterns (which lengths share a sequence) is solved on it, new patterns being priced by a
-knapsack dynamic program. The solution is rounded down, what is left over is packed first-fit
-decreasing into further patterns, and pieces take the slots of their length in rank order, numbered
+knapsack dynamic program. The solution's full patterns are rounded down, what is left over is packed
+largest first into further patterns, and pieces take the slots of their length in rank order, numbered
 in pieces of each class, so a length that a third of all documents share is no single task.
 
 Defined cases: null text is empty and gives the end id alone; a repeated document is packed again; an
@@ -28,9 +28,11 @@ from snippetlake.session import cut
 
 SIZE = 2048
 #: Lengths are told apart in steps of so many ids: more classes, less padding, a longer program.
-STEP = 8
+STEP = 4
 #: Rounds of column generation; any round's solution can be rounded, later ones waste less.
-ROUNDS = 2000
+ROUNDS = 400
+#: Columns of the program that leave more room than this, in steps, are not rounded.
+SLACK = 0
 #: Stretches a class is ranked in, at most; their totals are what is broadcast.
 STRETCHES = 512
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -103,41 +105,46 @@ def plan(histogram: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tup
         value, counts = _knapsack(inverse.sum(0), weight, room)
         if value <= 1 + 1e-7:
             break
-        way = inverse @ counts
+        way = (inverse * counts).sum(1)
         able = way > 1e-9
         ratio = np.where(able, x / np.where(able, way, 1), np.inf)
         out = int(ratio.argmin())
         x = np.maximum(x - ratio[out] * way, 0)
         x[out] = ratio[out]
         columns[:, out] = counts
-        if turn % 200 == 199:
-            inverse = np.linalg.inv(columns)
-            x = np.maximum(inverse @ demand, 0)
-        else:
-            row = inverse[out] / way[out]
-            inverse -= np.outer(way, row)
-            inverse[out] = row
+        row = inverse[out] / way[out]
+        inverse -= np.outer(way, row)
+        inverse[out] = row
     patterns, left = [], demand.astype(np.int64)
     for i in np.argsort(-x, kind="stable"):
         column = columns[:, i].astype(np.int64)
         used = column > 0
         copies = min(int(x[i] + 1e-6), int((left[used] // column[used]).min()))
-        if copies > 0:
+        if copies > 0 and room - int(weight @ column) <= SLACK:
             left = left - copies * column
             patterns.append(({int(weight[k]): int(column[k]) for k in np.flatnonzero(used)}, copies))
-    free: list[int] = []
-    bins: list[dict[int, int]] = []
-    for k in range(len(weight) - 1, -1, -1):
-        w = int(weight[k])
-        for _ in range(int(left[k])):
-            at = next((i for i, f in enumerate(free) if f >= w), None)
-            if at is None:
-                at = len(free)
-                free.append(room)
-                bins.append({})
-            free[at] -= w
-            bins[at][w] = bins[at].get(w, 0) + 1
-    return patterns + [(b, 1) for b in bins]
+    return patterns + _decreasing(left, weight, room)
+
+
+def _decreasing(left: np.ndarray, weight: np.ndarray, room: int) -> list[tuple[dict[int, int], int]]:
+    """Largest first into what room there is, each pattern as often as the counts allow: at least
+    one class has too few pieces left after each, so the steps do not grow with the counts."""
+    left, patterns = left.copy(), []
+    while left.any():
+        column, free = np.zeros_like(left), room
+        while True:
+            fit = np.flatnonzero((weight <= free) & (left > column))
+            if not len(fit):
+                break
+            k = int(fit[-1])
+            n = min(free // int(weight[k]), int(left[k] - column[k]))
+            column[k] += n
+            free -= n * int(weight[k])
+        used = column > 0
+        copies = int((left[used] // column[used]).min())
+        left -= copies * column
+        patterns.append(({int(weight[k]): int(column[k]) for k in np.flatnonzero(used)}, copies))
+    return patterns
 
 
 def pack(parts: DataFrame, size: int = SIZE, step: int = STEP) -> DataFrame:
