@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snippetlake.llm import neardup, packing, secrets, substrings, tokenout, urlfilter
+from snippetlake.llm import neardup, packing, secrets, substrings, tokenout, topk, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 #: Host labels of the list that op8 blocks (fixed values).
 LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_packing": op4_packing,
     "op5_near_dedup": op5_near_dedup,
+    "op7_top_k": op7_top_k,
     "op8_url_filter": op8_url_filter,
     "op9_token_output": op9_token_output,
     "op10_secret_scan": op10_secret_scan,
