@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snippetlake.llm import neardup, packing, secrets, substrings, tokenout, topk, urlfilter
+from snippetlake.llm import neardup, packing, secrets, substrings, tokenout, topk, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 0)
+    out = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "flagged")
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -73,6 +81,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_packing": op4_packing,
     "op5_near_dedup": op5_near_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_top_k": op7_top_k,
     "op8_url_filter": op8_url_filter,
     "op9_token_output": op9_token_output,
