@@ -1,4 +1,84 @@
-"""Stages of the corpus pipeline."""
-STAGES = []
-def run(spark, sf_dir):
-    raise RuntimeError("no stages")
+"""Corpus pipeline: language ID, near duplicates, decontamination, secrets, packing.
+
+Each stage takes what the one before it kept and returns the columns of documents, the last one the packed
+pieces. A stage without rows gives none. Rows are told apart by their whole content where ids are
+null or repeated; further columns, whatever their names, are passed on up to packing.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from snippetlake.llm import decontaminate, langid, neardup, packing, queries, secrets
+from snippetlake.session import cut, ship
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without letters, or in no language, go. Equal rows are judged alike, so the hash of a whole row
+    names the decision; the rejected are few and joined by what size they turn out to have."""
+    ship(spark)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash"))
+    named = whole.select("hash", F.col("row.text").alias("text"), F.col("row.lang").alias("lang"), F.col("row.source").alias("source"))
+    judged = langid.judge(named, langid.Columns(key="hash"))
+    rejected = cut(judged.where(~F.col("kept")).select(F.col("id").alias("hash")).distinct())
+    return whole.join(rejected, "hash", "left_anti").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the row of the smallest id stays; of rows that repeat an id and its
+    text one stays; rows without an id or without words stay."""
+    ship(spark)
+    linked = neardup.components(docs.select("doc_id", "text"), percent=80, scheme=neardup.SCHEME_80)
+    gone = cut(linked.where("id <> component_id").select(F.col("id").alias("gone_id")).distinct())
+    again = cut(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("again_id")).agg(F.count("*").alias("n")).where("n > 1").select("again_id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_text"))
+    rows = rows.join(gone, F.col("own_id") == F.col("gone_id"), "left_anti")
+    if again.isEmpty():
+        return rows.select("row.*")
+    once = rows.join(again, F.col("own_id") == F.col("again_id"), "left_anti").select("row.*")
+    repeated = rows.join(again, F.col("own_id") == F.col("again_id"), "left_semi").dropDuplicates(["own_id", "own_text"])
+    return once.unionByName(repeated.select("row.*"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that hold a test item go."""
+    ship(spark)
+    return decontaminate.clean(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays; secrets in its text are replaced by a mark, and ``n_chars`` follows."""
+    ship(spark)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("content"))
+    found = secrets.scan(rows, secrets.new_ledger(spark), ["row"], text="content")
+    text = secrets.masked(F.col("row.text"), F.col("found"))
+    changed = {"text": text, "n_chars": F.when(F.size("found") > 0, F.length(text).cast("bigint")).otherwise(F.col("row.n_chars"))}
+    return found.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of every document with their place in a sequence."""
+    ship(spark)
+    return packing.pack(packing.pieces(docs, queries.tokenizer_path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", pack),
+]
+
+#: Signatures, classifiers and the linear program have no SQL; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
+    return docs
