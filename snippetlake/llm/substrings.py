@@ -4,8 +4,8 @@ Rounds rename runs of equal symbols, then pairs of a *left* and a *right* symbol
 is a fingerprint of what it stands for and the side a symbol is on is a bit of its name, so names
 and sides are global: every task gives equal sequences the same symbols, except for those that
 touch a border. For a window of words the symbols that cannot depend on what surrounds the window are
-known by a rule that looks only at the window; its anchor is the one of least hash among them, or the
-window itself where none is left. Equal windows therefore have equal anchors.
+known by a rule that looks only at the window; its anchor is the longest of them, of equally long
+ones that of least hash, or the window itself where none is left. Equal windows therefore have equal anchors.
 
 1. Anchors of all texts are counted across the table (combined before the shuffle).
 2. Windows are taken up only where their anchor occurs more than once. Their 128-bit fingerprints
@@ -88,6 +88,8 @@ def anchors(hashes: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tup
     symbol[start] = np.arange(len(names))
     symbol[n] = len(names)
     value = words.mix(names, 80)
+    # the longest symbol first, as it is the least common: equal names stand for equally many words
+    rank = value >> np.uint64(8) | np.uint64(255) - np.minimum(np.diff(np.append(start, n)), 255).astype(np.uint64) << np.uint64(56)
     has = left < right
     a, b = symbol[left[has]], symbol[right[has]]
     wide = b - a
@@ -95,7 +97,7 @@ def anchors(hashes: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tup
     while (2 << (len(levels) - 1)) <= int(wide.max(initial=1)):
         reach, last = 1 << (len(levels) - 1), levels[-1]
         x, y = last[:-reach], last[reach:]
-        levels.append(np.where(value[x] <= value[y], x, y))
+        levels.append(np.where(rank[x] <= rank[y], x, y))
     power = np.frexp(wide.astype(float))[1] - 1
     place = np.empty(len(first), np.int64)
     name = np.empty(len(first), np.uint64)
@@ -103,7 +105,7 @@ def anchors(hashes: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tup
     for p in range(len(levels)):
         of = power == p
         x, y = levels[p][a[of]], levels[p][b[of] - (1 << p)]
-        least[of] = np.where(value[x] <= value[y], x, y)
+        least[of] = np.where(rank[x] <= rank[y], x, y)
     place[has], name[has] = least, value[least]
     bare = np.flatnonzero(~has)
     place[bare] = len(names) + bare

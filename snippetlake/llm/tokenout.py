@@ -28,7 +28,7 @@ from snippetlake.session import shared_dir
 #: Ids encoded at a time, a full set of lanes; bounds the memory of a writing task.
 GROUP = idcoder.BLOCK * idcoder.LANES
 #: Texts are tokenized in slices of about so many bytes.
-SLICE = 8 << 20
+SLICE = 4 << 20
 SCHEMA = "part int, block int, data binary, doc array<bigint>, row array<bigint>, size array<int>, after array<bigint>, at array<bigint>"
 
 
