@@ -9,8 +9,11 @@ on the full sets.
 
 Texts of equal sets are one class from the start. Rows that share a key are not paired with each other:
 each meets one hub of the key, and only keys that still hold several components are looked at
-again, in the last round all pairs of different components under a key. Shared keys are found by an
-aggregation that combines before the shuffle, so no group is gathered in a task.
+again, in the last round pairs of different components. Shared keys are found by an
+aggregation that combines before the shuffle, so no group is gathered in a task. Before the last round
+rows are measured by the shingles they share with any other row still open: a row whose own shingles alone
+put it below the wanted similarity meets nobody, and two rows meet only over one of their rarest shared
+shingles, as few as the similarity allows to miss.
 
 Defined cases: texts without words, or null, are linked with nothing; rows without an id are their own;
 repeated rows are copies; ties go to the smaller id; an empty table gives no rows.
@@ -134,6 +137,44 @@ def _paired(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return left.join(table.select(F.col("id").alias("b"), F.col(value).alias("y")), "b").select("a", "b", "x", "y")
 
 
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        numbers = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        sizes = np.array([len(x) for x in numbers], np.int64)
+        yield pa.record_batch(
+            {
+                "id": batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))),
+                "size": pa.array(np.repeat(sizes, sizes)),
+                "shingle": pa.array(np.concatenate([np.zeros(0, np.int64), *numbers])),
+            }
+        )
+
+
+def _over_rare_shingles(rows: DataFrame, sets: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``rows`` (id, component) in different components that can be as similar as wanted.
+
+    With s shared of its n shingles a row overlaps another in s at most. Pairs that reach the similarity share one of
+    the ``n - ceil(percent * n / 100) + 1`` rarest shingles of either. Of the components under a shingle
+    the one that is largest in the table meets the others only, never itself.
+    """
+    each = cut(sets.join(rows.select("id"), "id", "left_semi").select("id", "set").mapInArrow(_numbers, "id bigint, size bigint, shingle bigint"))
+    common = cut(each.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1"))
+    met = each.join(common, "shingle")
+    shared = met.groupBy("id").agg(F.count("*").alias("shared"), F.first("size").alias("size")).where(F.col("shared") * 100 >= percent * F.col("size"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("rows", "shingle")) + F.col("size") - F.col("shared")
+    first = met.join(shared.drop("size"), "id").withColumn("place", place)
+    first = first.where(F.col("place") <= F.col("size") - F.ceil(percent * F.col("size") / 100) + 1)
+    weights = named.groupBy("component").agg(F.count("*").alias("weight"))
+    with_weight = rows.join(weights, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+    placed = cut(first.join(with_weight, "id").select("shingle", "id", "component", "weight", "shared", "size"))
+    groups = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("weight", "component")).alias("largest"))
+    main = cut(groups.where("low < high").select("shingle", F.col("largest.component").alias("main")))
+    open_rows = cut(placed.join(main, "shingle"))
+    left = open_rows.where("component <> main").select("shingle", F.col("id").alias("a"), F.col("component").alias("c"), F.col("shared").alias("s"), F.col("size").alias("n"))
+    possible = F.least("s", "shared") * (100 + percent) >= percent * (F.col("n") + F.col("size"))
+    return left.join(open_rows, "shingle").where((F.col("c") != F.col("component")) & possible).select("a", F.col("id").alias("b"))
+
+
 def components(docs: DataFrame, percent: int = 85, scheme: Scheme = SCHEME_85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``docs``: rows are linked where
     ``100 * intersection >= percent * union`` of their shingle sets, and a component is named by its
@@ -150,7 +191,8 @@ def components(docs: DataFrame, percent: int = 85, scheme: Scheme = SCHEME_85, k
     shared = cut(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub < most").select("key", "hub"))
     members = cut(keyed.join(shared, "key"))
     wanted = members.select("id").distinct()
-    sets = cut(read.join(wanted, "id", "left_semi").mapInArrow(_sets, "id bigint, set binary"))
+    # merged at every size: which texts are wanted grows with the texts
+    sets = cut(read.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_sets, "id bigint, set binary"))
 
     def confirm(pairs: DataFrame, nearest: int | None) -> tuple[DataFrame, DataFrame]:
         near = _paired(pairs, heads, "signature").mapInArrow(_distance, "a bigint, b bigint, distance int").where(F.col("distance") <= scheme.limit)
@@ -176,9 +218,8 @@ def components(docs: DataFrame, percent: int = 85, scheme: Scheme = SCHEME_85, k
             left = placed.join(open_keys.select("key", "hub", "hub_component"), "key").where("component <> hub_component")
             hubs = left.select(F.col("id").alias("a"), F.col("hub").alias("b"))
         else:
-            rows = cut(placed.join(open_keys.select("key"), "key", "left_semi"))
-            other = rows.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-            hubs = rows.withColumnRenamed("id", "a").join(other, "key").where("a < b and component <> other").select("a", "b")
+            rows = placed.join(open_keys.select("key"), "key", "left_semi").select("id", "component").distinct()
+            hubs = _over_rare_shingles(cut(rows), sets, named, percent)
         hubs = hubs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     of_set = cut(classes.join(named.withColumnRenamed("node", "id"), "id", "left").select("set_low", "set_high", F.coalesce("component", "id").alias("component_id")))
     out = signed.select("id", "n_shingles", "set_low", "set_high").join(of_set, ["set_low", "set_high"], "left")
