@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Each round joins edges with one minimum per node (combined before the shuffle), so a
-hub holding a large part of all edges is a skewed join key, which adaptive execution
-splits, and never a gathered list.
+Each round joins edges with one minimum per node. Edges and minima are written before they
+are joined: the join then has a plain exchange on either side, so adaptive execution can
+split a hub that holds a large part of all edges, and no list is gathered.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ def _signature(edges: DataFrame) -> tuple:
 
 def _star_round(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    large = cut(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+    low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
     hung = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
