@@ -44,7 +44,7 @@ class Model:
                 start[c2, c1] = (0, 1, 3, 8)[c2], (0, 1, 2, 6)[c1], 6
         self.shares = np.tile(start.ravel().astype(np.int32), n)
         self.counts = (np.arange(self.width) < self.sizes[:, None]).astype(np.int64)
-        self.prev1 = self.prev2 = np.full(n, self.width, np.int64)  # no id yet
+        self.prev1 = self.prev2 = np.full(n, -1, np.int64)  # no id yet; the same in any company
         self.take_over()
 
     def take_over(self) -> None:
@@ -59,8 +59,8 @@ class Model:
         self.take_over()
 
     def predict(self) -> tuple[np.ndarray, ...]:
-        self.slot2 = self.at2 + ((self.prev2 * 2654435 + self.prev1 * 40503) & (BLOCK - 1))
-        self.slot1 = self.at1 + self.prev1
+        self.slot2 = self.at2 + (((self.prev2 + 1) * 2654435 + (self.prev1 + 1) * 40503) & (BLOCK - 1))
+        self.slot1 = self.at1 + self.prev1 + 1
         self.e2, self.e1 = self.order2[self.slot2], self.order1[self.slot1]
         self.c2, self.c1 = self.e2 & 3, self.e1 & 3
         self.slotc = self.atc + (self.c2 * 4 + self.c1) * 3
