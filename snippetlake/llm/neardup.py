@@ -3,13 +3,13 @@
 A text's set of five-word shingles becomes a signature of 16-bit symbols, each the hash of a minimum
 over the set. Two signatures of at most ``limit`` different symbols must, by the pigeonhole principle,
 have at most ``errors`` different symbols in one of their chunks; so each chunk is looked up under
-every choice of symbols that may differ, and no pair within the limit is missed. The limit lies five
+every choice of symbols that may differ, and no pair within the limit is missed. The limit lies about five
 standard deviations beyond the expected distance at the wanted similarity. Candidates are confirmed
 on the full sets.
 
 Texts of equal sets are one class from the start. Rows that share a key are not paired with each other:
-each meets one hub of the key, and only keys that still hold several components are looked at
-again, in the last round pairs of different components. Shared keys are found by an
+each meets one hub of the key, and only keys that then hold several components are looked at
+again, with another hub, and in the last round for pairs of different components. Shared keys are found by an
 aggregation that combines before the shuffle, so no group is gathered in a task. Before the last round
 rows are measured by the shingles they share with any other row still open: a row whose own shingles alone
 put it below the wanted similarity meets nobody, and two rows meet only over one of their rarest shared
@@ -21,6 +21,7 @@ repeated rows are copies; ties go to the smaller id; an empty table gives no row
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 from typing import NamedTuple
@@ -45,11 +46,9 @@ class Scheme(NamedTuple):
     limit: int
 
 
-#: For a similarity of 0.85 (expected distance 9.8 of 65) and of 0.8 (12.8 of 64).
-SCHEME_85, SCHEME_80 = Scheme(13, 5, 1, 25), Scheme(16, 4, 1, 31)
-#: Rounds in which rows meet hubs before the remaining pairs are met one by one.
-STAR_ROUNDS = 2
-#: Hubs a row is confirmed against in such a round, nearest signatures first.
+#: For a similarity of 0.85 (expected distance 7.5 of 50, deviation 2.5) and of 0.8 (10.4 of 52, 2.9).
+SCHEME_85, SCHEME_80 = Scheme(10, 5, 1, 19), Scheme(13, 4, 1, 25)
+#: Hubs a row is confirmed against in one of the two rounds of hubs, nearest signatures first.
 NEAREST = 2
 SIGNED = "id bigint, n_shingles bigint, set_low bigint, set_high bigint, signature binary"
 
@@ -166,12 +165,14 @@ def _over_rare_shingles(rows: DataFrame, sets: DataFrame, named: DataFrame, perc
     first = first.where(F.col("place") <= F.col("size") - F.ceil(percent * F.col("size") / 100) + 1)
     weights = named.groupBy("component").agg(F.count("*").alias("weight"))
     with_weight = rows.join(weights, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
-    placed = cut(first.join(with_weight, "id").select("shingle", "id", "component", "weight", "shared", "size"))
+    placed = cut(first.join(with_weight, "id").select("shingle", "id", "component", "weight", "shared", "size", "place"))
     groups = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("weight", "component")).alias("largest"))
     main = cut(groups.where("low < high").select("shingle", F.col("largest.component").alias("main")))
     open_rows = cut(placed.join(main, "shingle"))
-    left = open_rows.where("component <> main").select("shingle", F.col("id").alias("a"), F.col("component").alias("c"), F.col("shared").alias("s"), F.col("size").alias("n"))
-    possible = F.least("s", "shared") * (100 + percent) >= percent * (F.col("n") + F.col("size"))
+    left = open_rows.where("component <> main").select("shingle", F.col("id").alias("a"), F.col("component").alias("c"), F.col("shared").alias("s"), F.col("size").alias("n"), F.col("place").alias("p"))
+    # at the first shingle that two rows share, what either has from there on bounds what they share
+    most = F.least("s", "shared", F.col("n") - F.col("p") + 1, F.col("size") - F.col("place") + 1)
+    possible = most * (100 + percent) >= percent * (F.col("n") + F.col("size"))
     return left.join(open_rows, "shingle").where((F.col("c") != F.col("component")) & possible).select("a", F.col("id").alias("b"))
 
 
@@ -201,26 +202,31 @@ def components(docs: DataFrame, percent: int = 85, scheme: Scheme = SCHEME_85, k
         tried = cut(near.select("a", "b").distinct())
         return tried, cut(_paired(tried, sets, "set").mapInArrow(_confirmed(percent), "a bigint, b bigint").distinct())
 
-    links = tried = None
-    hubs = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    for turn in range(STAR_ROUNDS + 1):
-        met, found = confirm(hubs, NEAREST if turn < STAR_ROUNDS else None)
-        links, tried = (found, met) if links is None else (links.unionByName(found), tried.unionByName(met))
-        named = cut(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-        if turn == STAR_ROUNDS:
-            break
-        placed = members.select("key", "id").join(named.withColumnRenamed("node", "id"), "id", "left")
-        placed = cut(placed.select("key", "id", F.coalesce("component", "id").alias("component")))
-        some = F.max_by("id", F.xxhash64("key", "id", F.lit(turn)))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), some.alias("hub")).where("low < high")
-        open_keys = cut(mixed.join(placed.select(F.col("key"), F.col("id").alias("hub"), F.col("component").alias("hub_component")), ["key", "hub"]))
-        if turn + 1 < STAR_ROUNDS:
-            left = placed.join(open_keys.select("key", "hub", "hub_component"), "key").where("component <> hub_component")
-            hubs = left.select(F.col("id").alias("a"), F.col("hub").alias("b"))
-        else:
-            rows = placed.join(open_keys.select("key"), "key", "left_semi").select("id", "component").distinct()
-            hubs = _over_rare_shingles(cut(rows), sets, named, percent)
-        hubs = hubs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    of_set = cut(classes.join(named.withColumnRenamed("node", "id"), "id", "left").select("set_low", "set_high", F.coalesce("component", "id").alias("component_id")))
+    def named(*links: DataFrame) -> DataFrame:
+        every = functools.reduce(DataFrame.unionByName, links)
+        return cut(connected_components(every.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "id"))
+
+    def fresh(pairs: DataFrame, *tried: DataFrame) -> DataFrame:
+        ordered = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return ordered.join(functools.reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
+
+    # every row meets the smallest id of its keys
+    tried_1, links_1 = confirm(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), NEAREST)
+    placed = members.select("key", "id").join(named(links_1), "id", "left")
+    placed = cut(placed.select("key", "id", F.coalesce("component", "id").alias("component")))
+    # keys that hold several components: their rows meet another hub
+    some = F.max_by("id", F.xxhash64("key", "id"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), some.alias("hub")).where("low < high")
+    hubs = placed.select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component"))
+    open_keys = cut(mixed.select(F.col("key").alias("open_key"), "hub").join(hubs.withColumnRenamed("key", "open_key"), ["open_key", "hub"]))
+    met = placed.join(open_keys, (F.col("key") == F.col("open_key")) & (F.col("component") != F.col("hub_component")))
+    tried_2, links_2 = confirm(fresh(met.select(F.col("id").alias("a"), F.col("hub").alias("b")), tried_1), NEAREST)
+    # rows of different components that are still possible meet each other
+    halfway = named(links_1, links_2)
+    open_rows = placed.join(open_keys, F.col("key") == F.col("open_key"), "left_semi")
+    rows = open_rows.select("id").distinct().join(halfway, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    _, links_3 = confirm(fresh(_over_rare_shingles(cut(rows), sets, halfway, percent), tried_1, tried_2), None)
+    final = named(links_1, links_2, links_3)
+    of_set = cut(classes.join(final, "id", "left").select("set_low", "set_high", F.coalesce("component", "id").alias("component_id")))
     out = signed.select("id", "n_shingles", "set_low", "set_high").join(of_set, ["set_low", "set_high"], "left")
     return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
