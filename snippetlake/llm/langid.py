@@ -131,7 +131,7 @@ def _likelihoods(model: np.ndarray):
         for batch in slices(batches, "text"):
             grams, text, letters = _trigrams(batch.column(1))
             n = batch.num_rows
-            total = np.stack([np.bincount(text, table[grams, j].astype(np.float64), n) for j in range(table.shape[1])], axis=1)
+            total = np.stack([np.bincount(text, table[grams, j].astype(np.float64), n) for j in range(table.shape[1])], axis=1).astype(np.float64)
             count = np.bincount(text, minlength=n)
             total *= np.minimum(1, WEIGHT / np.maximum(count, 1))[:, None]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * total.shape[1], pa.int32()), pa.array(total.ravel()))

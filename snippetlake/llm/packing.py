@@ -93,7 +93,8 @@ def _knapsack(value: np.ndarray, weight: np.ndarray, room: int) -> tuple[float,
 def plan(histogram: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """Patterns ({class: pieces}, copies) that take exactly the pieces of ``histogram``.
 
-    Class c needs c units of a sequence's ``room``. Revised simplex, columns priced by the knapsack.
+    Class c needs c units of a sequence's ``room``. Revised simplex; columns are those of the
+    largest-first packing while they pay, then priced by the knapsack.
     """
     weight = np.array(sorted(c for c, n in histogram.items() if n), np.int64)
     if not len(weight):
@@ -101,8 +102,14 @@ def plan(histogram: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tup
     demand = np.array([histogram[int(c)] for c in weight], float)
     columns = np.diag(room // weight).astype(float)
     inverse, x = np.diag(1 / np.diag(columns)), demand / np.diag(columns)
-    for turn in range(rounds):
-        value, counts = _knapsack(inverse.sum(0), weight, room)
+    greedy = _decreasing(demand.astype(np.int64), weight, room)
+    seeds = np.array([[p.get(int(c), 0) for c in weight] for p, _ in greedy], float)
+    for _ in range(rounds):
+        prices = inverse.sum(0)
+        seeded = (seeds * prices).sum(1)
+        value, counts = float(seeded.max()), seeds[int(seeded.argmax())]
+        if value <= 1 + 1e-7:
+            value, counts = _knapsack(prices, weight, room)
         if value <= 1 + 1e-7:
             break
         way = (inverse * counts).sum(1)
@@ -123,7 +130,9 @@ def plan(histogram: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tup
         if copies > 0 and room - int(weight @ column) <= SLACK:
             left = left - copies * column
             patterns.append(({int(weight[k]): int(column[k]) for k in np.flatnonzero(used)}, copies))
-    return patterns + _decreasing(left, weight, room)
+    rounded = patterns + _decreasing(left, weight, room)
+    # a program stopped early can be worse than what it was seeded with
+    return min(rounded, greedy, key=lambda plan: sum(copies for _, copies in plan))
 
 
 def _decreasing(left: np.ndarray, weight: np.ndarray, room: int) -> list[tuple[dict[int, int], int]]:
