@@ -9,6 +9,7 @@ library whole; either way the ids are those of the whole text.
 from __future__ import annotations
 
 import functools
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker per core already
         self.library = Tokenizer.from_file(path)
         self.keeps_space = self.library.normalizer is None
         self._restart()
