@@ -66,7 +66,9 @@ def parse_ext_list(text: Column) -> Column:
 
 
 def parse_extensions(text: str) -> list[str]:
-    """The same for an argument known when the query is built."""
+    """The same for an argument known when the query is built; a blank one names none, so it is no filter."""
+    if not text.strip():
+        return []
     return sorted({part.strip().lstrip(".").lower() for part in text.split(",")})
 
 

@@ -70,12 +70,19 @@ def token_count(tokens: Column) -> Column:
     return F.aggregate(tokens, start, step, finish)
 
 
+#: A line no file has, with room for sums in 32 bits.
+_FAR = 1 << 30
+
+
 def node_spans(tree: Column, node_types: Sequence[str] = FUNCTION_NODE_TYPES) -> Column:
     """``ARRAY<STRUCT<type, line, end_line>>`` of the wanted nodes in pre-order; empty
-    for text that is not a tree. A node without a readable range spans line 0 to line 0."""
+    for text that is not a tree. A node without a readable range spans line 0 to line 0; a number
+    beyond ``_FAR`` counts as that, past the end of any file."""
 
     def number(token: Column, group: int) -> Column:
-        return F.coalesce(F.nullif(F.regexp_extract(token, _LINES_OF, group), F.lit("")).cast("int"), F.lit(0))
+        digits = F.nullif(F.regexp_extract(token, _LINES_OF, group), F.lit(""))
+        line = F.least(F.coalesce(digits.try_cast("bigint"), F.lit(_FAR)), F.lit(_FAR)).cast("int")
+        return F.when(digits.isNotNull(), line).otherwise(F.lit(0))
 
     def spans(tokens: Column) -> Column:
         wanted = F.filter(

@@ -15,13 +15,15 @@ _shipped: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only when neither the session nor the context names one (unit tests, a laptop)
-    is a temporary folder made and set.
+    Only when neither the session nor the context names one and the master is local (unit
+    tests, a laptop) is a temporary folder made and set; a cluster has to name one.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="snippetlake-"))
         current = sc.getCheckpointDir()
     return named or current

@@ -20,12 +20,14 @@ def latest_versions(files: DataFrame) -> DataFrame:
 def ingest_stream(files: DataFrame, store: VectorStore, encoder: Encoder, checkpoint: str, name: str = "ingest", **options) -> StreamingQuery:
     """Start upserting a stream of ``(path, content, md5, mtime, tree)``.
 
-    Each micro-batch is one tagged batch of the table: a retry of a batch that was
-    already committed does nothing. It takes what is available and stops.
+    Each micro-batch is one batch of the table, tagged by the query's own id (which its
+    checkpoint keeps), the encoder and the batch number: a retry of a batch that was already
+    committed does nothing, and no other stream, model or checkpoint shares its tag. It takes what is available and stops.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        upsert(store, latest_versions(batch), encoder, tag=f"{name}:{number}", **options)
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        upsert(store, latest_versions(batch), encoder, tag=f"{query}:{encoder.name}:{number}", **options)
 
     return (
         files.writeStream.foreachBatch(apply)

@@ -126,3 +126,7 @@ def test_vector_expressions(spark):
     assert rows[0].dot == 11.0 and abs(rows[0].d - 8**0.5) < 1e-12
     assert [round(x, 6) for x in rows[0].unit] == [0.6, 0.8]
     assert rows[1].unit == [0.0, 0.0]
+
+
+def test_blank_extension_list_is_no_filter():
+    assert P.parse_extensions("") == P.parse_extensions("  ") == []
