@@ -48,6 +48,8 @@ WEIGHT = 100.0
 NO_LANGUAGE, DOUBT, HOST_DOUBT, DOMAIN_DOUBT = 1e-4, 1.0, 20.0, 20.0
 
 
+#: Bytes of text looked at together; a trigram takes some thirty bytes of memory.
+PORTION = 1 << 20
 #: Texts of fewer letters cannot show that they are in no language.
 ENOUGH = 60
 
@@ -84,6 +86,7 @@ def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # letters and word ends stay: of a stretch of other signs only the last one, as a blank
     keep = letter.copy()
     keep[:-1] |= letter[1:]
+    keep[bounds[1:][np.diff(bounds) > 0] - 1] = True  # whatever the next text begins with
     at = np.flatnonzero(keep)
     codes = np.where(letter[at], data[at], 32).astype(np.int64)
     text = np.repeat(np.arange(len(low)), np.diff(bounds))[at]
@@ -101,7 +104,7 @@ _LETTER[[*range(97, 123), *range(128, 256)]] = True
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((len(LANGUAGES), BUCKETS), np.int64)
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", PORTION):
         grams, text, _ = _trigrams(batch.column(0))
         which = pc.index_in(batch.column(1), pa.array(LANGUAGES)).fill_null(len(LANGUAGES)).to_numpy(zero_copy_only=False)
         total += np.bincount(which[text] * BUCKETS + grams, minlength=(len(LANGUAGES) + 1) * BUCKETS)[: total.size].reshape(total.shape)
@@ -128,7 +131,7 @@ def _likelihoods(model: np.ndarray):
     table = np.ascontiguousarray(np.vstack([model, np.full(BUCKETS, -np.log(BUCKETS))]).T.astype(np.float32))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PORTION):
             grams, text, letters = _trigrams(batch.column(1))
             n = batch.num_rows
             total = np.stack([np.bincount(text, table[grams, j].astype(np.float64), n) for j in range(table.shape[1])], axis=1).astype(np.float64)

@@ -32,16 +32,17 @@ SLICE = 4 << 20
 SCHEMA = "part int, block int, data binary, doc array<bigint>, row array<bigint>, size array<int>, after array<bigint>, at array<bigint>"
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``SLICE`` bytes of text at most, a longer text alone."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of text, a longer text alone. They are
+    copies: Arrow's text functions can go wrong on arrays that begin inside another."""
     for batch in batches:
         at = batch.schema.get_field_index(text)
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
-        groups = np.cumsum(sizes) // SLICE
+        groups = np.cumsum(sizes) // most
         bounds = [0, *(np.flatnonzero(np.diff(groups)) + 1), batch.num_rows]
         for a, b in zip(bounds, bounds[1:], strict=False):
             if b > a:
-                yield batch.slice(a, b - a)
+                yield batch.take(pa.array(np.arange(a, b)))
 
 
 class _Writer:

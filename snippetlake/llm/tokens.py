@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces remembered by one Python worker; the memo starts anew beyond that.
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 500_000
 #: Any white space but single spaces and line ends between other characters, and the cut mark itself.
 ODD = "\\x00|[ \\n][ \\n]|[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: The same for a vocabulary that drops white space: only the cut mark is in the way.

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from snippetlake.llm import decontaminate, idcoder, langid, neardup, packing, queries, secrets, substrings, tokenout, topk, toxicity, urlfilter
+from snippetlake.llm import decontaminate, idcoder, langid, neardup, packing, queries, secrets, substrings, tokenout, topk, toxicity, urlfilter, words
 from snippetlake.llm.tokens import Encoder
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -214,6 +214,21 @@ def test_encoder_equals_the_library(name):
         assert flat[cuts[k] : cuts[k + 1]].tolist() == encoder.library.encode(t or "", add_special_tokens=False).ids
 
 
+def test_portions_give_what_the_whole_gives():
+    """Large batches are worked on in portions; results must not depend on where they are cut."""
+    rng = random.Random(8)
+    batch = pa.record_batch({"doc_id": pa.array(range(300)), "text": pa.array([sentence(rng, rng.randrange(200)).title() for _ in range(300)]), "lang": pa.array(["en"] * 300)})
+    parts = list(tokenout.slices(iter([batch]), "text", 5_000))
+    assert len(parts) > 5 and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    for lower in (False, True):
+        whole = words.split(batch.column(1), lower)[0].to_pylist()
+        assert whole == [w for p in parts for w in words.split(p.column(1), lower)[0].to_pylist()]
+        assert whole == [w.translate(LOWER) if lower else w for t in batch.column(1).to_pylist() for w in t.split()]
+    assert sum(langid._trigrams(p.column(1))[0].sum() for p in parts) == langid._trigrams(batch.column(1))[0].sum()
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert np.concatenate([encoder.encode(p.column(1))[0] for p in parts]).tolist() == encoder.encode(batch.column(1))[0].tolist()
+
+
 def test_blocks_alone_and_damaged():
     rng = np.random.default_rng(2)
     for ids in ([5], [65535, 0], rng.zipf(1.3, 9000) % 49408, np.arange(5000)):
