@@ -8,7 +8,7 @@ import __spark_entry__ as entry_point
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", list(entry_point.queries()))
+@pytest.mark.parametrize("name", list(entry_point.oracle_sql()))
 def test_query(spark, name):
     assert not check_oracle.run(spark, SMALL, [name])
 
