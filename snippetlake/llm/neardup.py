@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snippetlake.llm import words
-from snippetlake.llm.tokenout import slices
+from snippetlake.llm.tokenout import slices, small_batches
+from snippetlake.llm.tokens import forget
 from snippetlake.operators.components import connected_components
 from snippetlake.session import cut
 
@@ -59,6 +60,7 @@ def _signed(scheme: Scheme):
     keys, odd = rng.integers(0, 1 << 63, symbols, np.uint64), rng.integers(0, 1 << 63, symbols, np.uint64) * np.uint64(2) + np.uint64(1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches, "text"):
             flat, bounds = words.split(batch.column(1), lower=True)
             sets, cuts = words.shingles(words.hashed(flat), bounds)
@@ -110,6 +112,7 @@ def _distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in slices(batches, "text"):
         flat, bounds = words.split(batch.column(1), lower=True)
         sets, cuts = words.shingles(words.hashed(flat), bounds)
@@ -182,6 +185,7 @@ def components(docs: DataFrame, percent: int = 85, scheme: Scheme = SCHEME_85, k
     smallest id."""
     if scheme.chunks * (scheme.errors + 1) <= scheme.limit:
         raise ValueError("too few chunks for the limit")
+    small_batches(docs.sparkSession)
     read = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     signed = cut(read.mapInArrow(_signed(scheme), SIGNED))
     classes = cut(signed.where("n_shingles > 0 and id is not null").groupBy("set_low", "set_high").agg(F.min("id").alias("id")))

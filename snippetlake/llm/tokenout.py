@@ -29,6 +29,8 @@ from snippetlake.session import shared_dir
 GROUP = idcoder.BLOCK * idcoder.LANES
 #: Texts are tokenized in slices of about so many bytes.
 SLICE = 4 << 20
+#: Bytes of an Arrow batch between an executor and its workers.
+BATCH_BYTES = 16 << 20
 SCHEMA = "part int, block int, data binary, doc array<bigint>, row array<bigint>, size array<int>, after array<bigint>, at array<bigint>"
 
 
@@ -45,6 +47,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE) -> I
                 yield batch.take(pa.array(np.arange(a, b)))
 
 
+def small_batches(spark) -> None:
+    """Bound Arrow batches by ``BATCH_BYTES`` where the session has no bound of its own: batches of ten thousand
+    long rows would be held by the executor and by every worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 class _Writer:
     """Collects documents of one partition and gives out full groups of blocks."""
 

@@ -100,6 +100,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    """Free what a worker remembers of tokens, for other work that comes to the same worker."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        pa.default_memory_pool().release_unused()
+
+
 def with_end(flat: np.ndarray, cuts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with ``end`` after each text."""
     return np.insert(flat, cuts[1:], end), cuts + np.arange(len(cuts))
