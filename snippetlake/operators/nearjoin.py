@@ -21,6 +21,10 @@ together.
 
 With ``weighted`` the measure is the Ward height ``sqrt(2ab/(a+b)) * |x - y|`` of
 clusters of sizes a and b. It is never below ``|x - y|``, so the same cells serve.
+
+Matrix products only name candidates, with a bound of their rounding errors; what counts is
+measured by differences. Heights that agree to ``PLACES`` places are tied, and ties go to the
+least ids, so that neither chunks nor cells decide them.
 """
 
 from __future__ import annotations
@@ -43,10 +47,11 @@ TEST_ROWS = 512
 _ROW_COST = 200.0  # shipping one row costs about as much as comparing this many pairs
 _AT_ONCE = 1 << 22
 _SLACK = 1e-9
+PLACES = 9
 
 PAIRS_SCHEMA = "a long, b long, distance double"
 FOREST_SCHEMA = "u long, v long"
-NEAREST_SCHEMA = "id long, partner long, h2 double, leaves boolean"
+NEAREST_SCHEMA = "id long, partner long, height double, h2 double, leaves boolean"
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -54,6 +59,40 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0, out=d)
 
 
+def noise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bound of the rounding errors in each row of ``squared_distances``."""
+    top = (b * b).sum(1).max(initial=0.0)
+    return (4.0 * (a.shape[1] + 8) * np.finfo("float64").eps * ((a * a).sum(1) + top))[:, None]
+
+
+def rounded(h2: np.ndarray) -> np.ndarray:
+    """Heights by which pairs are ordered."""
+    return np.round(np.sqrt(h2), PLACES)
+
+
+def measured(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of chosen rows by differences, free of cancellation."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), 65536):
+        cut = slice(at, at + 65536)
+        diff = x[i[cut]] - y[j[cut]]
+        out[cut] = (diff * diff).sum(1)
+    return out
+
+
+def least(h: np.ndarray, slack: np.ndarray, t: float, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells below ``t`` that may hold the least measure of their row or column, or tie with it."""
+    bound = (np.sqrt((h + slack).min(axis, keepdims=True)) + 2.0 * 10.0**-PLACES) ** 2
+    return np.nonzero((h - slack <= bound) & (h < t * t + slack))
+
+
+def first_of(owner: np.ndarray, height: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Place of the least ``(height, other)`` of every owner. The two ids of a pair, the lower one
+    first, order the pairs of one owner as the other id does."""
+    order = np.lexsort((other, height, owner))
+    return order[np.r_[True, owner[order][1:] != owner[order][:-1]]] if len(order) else order
+
+
 def ward_factor(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 2.0 * a * b / (a + b)
 
@@ -80,7 +119,7 @@ class Cells:
         d = squared_distances(x, self.pivots)
         home = d.argmin(1)
         apart = np.sqrt(squared_distances(self.pivots[home], self.pivots))
-        near = d - d[np.arange(len(x)), home][:, None] <= 2.0 * (self.threshold + _SLACK) * apart + _SLACK
+        near = d - d[np.arange(len(x)), home][:, None] <= 2.0 * (self.threshold + _SLACK) * apart + _SLACK + 4.0 * noise(x, self.pivots)
         near &= np.arange(len(self.pivots))[None, :] < home[:, None]
         row, cell = np.nonzero(near)
         return home, row, cell
@@ -234,34 +273,31 @@ class _Side:
 
 
 def _blocks(left: _Side, right: _Side, within: bool, weighted: bool):
-    """Yield (rows of left, side, columns, squared measure) over the group's comparisons;
-    cells of the matrix that must not count are infinite."""
+    """Yield (rows of left, side, squared measure, bound of its error) over the group's
+    comparisons; cells of the matrix that must not count are infinite."""
     step = max(1, _AT_ONCE // max(1, len(left.ids), len(right.ids)))
     for at in range(0, len(left.ids), step):
         rows = np.arange(at, min(at + step, len(left.ids)))
         for side in ([left] if within else []) + ([right] if len(right.ids) else []):
-            h = squared_distances(left.x[rows], side.x)
+            h, slack = squared_distances(left.x[rows], side.x), noise(left.x[rows], side.x)
             if weighted:
-                h *= ward_factor(left.w[rows][:, None], side.w[None, :])
+                factor = ward_factor(left.w[rows][:, None], side.w[None, :])
+                h, slack = h * factor, slack * factor
             if side is left:
                 h[np.arange(len(left.ids))[None, :] <= rows[:, None]] = np.inf
-            yield rows, side, h
+            yield rows, side, h, np.broadcast_to(slack, h.shape)
 
 
 def _measure(left: _Side, i: np.ndarray, side: _Side, j: np.ndarray, weighted: bool) -> np.ndarray:
-    """Squared measure of chosen pairs by differences, free of cancellation."""
-    out = np.empty(len(i))
-    for at in range(0, len(i), 65536):
-        cut = slice(at, at + 65536)
-        diff = left.x[i[cut]] - side.x[j[cut]]
-        out[cut] = (diff * diff).sum(1)
+    """Squared measure of chosen pairs."""
+    out = measured(left.x, side.x, i, j)
     return out * ward_factor(left.w[i], side.w[j]) if weighted else out
 
 
 def _pairs(left, right, within, weighted, t) -> pa.Table:
     found = []
-    for rows, side, h in _blocks(left, right, within, weighted):
-        i, j = np.nonzero(h < t * t + 1e-12)
+    for rows, side, h, slack in _blocks(left, right, within, weighted):
+        i, j = np.nonzero(h < t * t + slack)
         i = rows[i]
         d = np.sqrt(_measure(left, i, side, j, weighted))
         keep = d < t
@@ -291,47 +327,56 @@ def _forest(left, right, within, weighted, t) -> pa.Table:
     ids = np.unique(np.concatenate([left.ids, right.ids]))
     at_left, at_right = np.searchsorted(ids, left.ids), np.searchsorted(ids, right.ids)
     label = np.arange(len(ids))
-    for rows, side, h in _blocks(left, right, within, weighted):
-        i, j = np.nonzero(h < t * t)
+    for rows, side, h, slack in _blocks(left, right, within, weighted):
+        i, j = np.nonzero(h < t * t + slack)
+        unsure = np.flatnonzero(h[i, j] >= t * t - slack[i, j])
+        keep = np.ones(len(i), bool)
+        keep[unsure] = _measure(left, rows[i[unsure]], side, j[unsure], weighted) < t * t
+        i, j = i[keep], j[keep]
         label = _union(label, at_left[rows[i]], (at_left if side is left else at_right)[j])
     child = np.nonzero(label != np.arange(len(ids)))[0]
     return pa.table({"u": pa.array(ids[child], pa.int64()), "v": pa.array(ids[label[child]], pa.int64())})
 
 
 class _Best:
-    """Best partner per row of one side: least measure, then least id."""
+    """Best partner per row of one side: least rounded height, then least id."""
 
     def __init__(self, side: _Side):
         self.side = side
-        self.h = np.full(len(side.ids), np.inf)
+        self.height = np.full(len(side.ids), np.inf)
+        self.h2 = np.full(len(side.ids), np.inf)
         self.partner = np.zeros(len(side.ids), "int64")
         self.leaf = np.zeros(len(side.ids), bool)
 
-    def offer(self, mine: np.ndarray, h: np.ndarray, other: _Side, theirs: np.ndarray) -> None:
-        ids = other.ids[theirs]
-        better = (h < self.h[mine]) | ((h == self.h[mine]) & (ids < self.partner[mine]))
+    def offer(self, mine: np.ndarray, h2: np.ndarray, other: _Side, theirs: np.ndarray) -> None:
+        height, ids = rounded(h2), other.ids[theirs]
+        one = first_of(mine, height, ids)
+        mine, height, h2, ids, theirs = mine[one], height[one], h2[one], ids[one], theirs[one]
+        better = (height < self.height[mine]) | ((height == self.height[mine]) & (ids < self.partner[mine]))
         m = mine[better]
-        self.h[m], self.partner[m] = h[better], ids[better]
+        self.height[m], self.h2[m], self.partner[m] = height[better], h2[better], ids[better]
         self.leaf[m] = (self.side.w[m] == 1) & (other.w[theirs[better]] == 1)
 
 
 def _nearest(left, right, within, weighted, t) -> pa.Table:
     best = {id(left): _Best(left), id(right): _Best(right)}
-    for rows, side, h in _blocks(left, right, within, weighted):
-        j = h.argmin(1)
-        ok = h[np.arange(len(rows)), j] < t * t
-        i, j = rows[ok], j[ok]
-        best[id(left)].offer(i, _measure(left, i, side, j, weighted), side, j)
-        i = h.argmin(0)
-        ok = h[i, np.arange(h.shape[1])] < t * t
-        j, i = np.nonzero(ok)[0], rows[i[ok]]
-        best[id(side)].offer(j, _measure(left, i, side, j, weighted), left, i)
+    for rows, side, h, slack in _blocks(left, right, within, weighted):
+        for axis in (1, 0):
+            i, j = least(h, slack, t, axis)
+            i = rows[i]
+            h2 = _measure(left, i, side, j, weighted)
+            ok = h2 < t * t
+            i, j, h2 = i[ok], j[ok], h2[ok]
+            if axis:
+                best[id(left)].offer(i, h2, side, j)
+            else:
+                best[id(side)].offer(j, h2, left, i)
     parts = []
     for b in best.values():
-        hit = b.h < t * t
-        parts.append((b.side.ids[hit], b.partner[hit], b.h[hit], b.leaf[hit]))
-    ids, partner, h2, leaf = (np.concatenate(c) for c in zip(*parts))
-    return pa.table({"id": pa.array(ids, pa.int64()), "partner": pa.array(partner, pa.int64()), "h2": pa.array(h2, pa.float64()), "leaves": pa.array(leaf, pa.bool_())})
+        hit = b.h2 < t * t
+        parts.append((b.side.ids[hit], b.partner[hit], b.height[hit], b.h2[hit], b.leaf[hit]))
+    ids, partner, height, h2, leaf = (np.concatenate(c) for c in zip(*parts))
+    return pa.table({"id": pa.array(ids, pa.int64()), "partner": pa.array(partner, pa.int64()), "height": pa.array(height, pa.float64()), "h2": pa.array(h2, pa.float64()), "leaves": pa.array(leaf, pa.bool_())})
 
 
 _MODES = {"pairs": (_pairs, PAIRS_SCHEMA), "forest": (_forest, FOREST_SCHEMA), "nearest": (_nearest, NEAREST_SCHEMA)}

@@ -21,6 +21,7 @@ from .ingest import upsert
 from .query import search as stored_hits
 
 EMBEDDING_DISTANCE = 1.2
+ROUTE_CHUNK = 64
 TEXT_DISTANCE = 0.2
 IDENTICAL_DISTANCE = 1e-6
 
@@ -337,7 +338,7 @@ def connected_components(spark, sf):
 
 def nearest_neighbour(spark, sf):
     best = nearjoin.near_join(_embedding_points(spark, sf), EMBEDDING_DISTANCE, "nearest")
-    one = best.groupBy("id").agg(F.min(F.struct("h2", "partner")).alias("b"))
+    one = best.groupBy("id").agg(F.min(F.struct("height", "partner", "h2")).alias("b"))
     return one.select("id", F.col("b.partner").alias("partner"), F.round(F.sqrt("b.h2"), 6).alias("distance"))
 
 
@@ -355,6 +356,19 @@ def ward_labels(spark, sf):
     return owner.select(F.col("id").alias("vector_id"), "cluster_id")
 
 
+def ward_labels_rounds(spark, sf):
+    """Every component by distributed rounds."""
+    owner = ward.ward_clusters(_embedding_points(spark, sf), EMBEDDING_DISTANCE, cap=0, chunk=ROUTE_CHUNK)
+    return owner.select(F.col("id").alias("vector_id"), "cluster_id")
+
+
+def ward_labels_levels(spark, sf):
+    """By way of the lower cuts that large tables take."""
+    levels = [EMBEDDING_DISTANCE / 4, EMBEDDING_DISTANCE / 2]
+    owner = ward.ward_clusters(_embedding_points(spark, sf), EMBEDDING_DISTANCE, levels=levels)
+    return owner.select(F.col("id").alias("vector_id"), "cluster_id")
+
+
 def ward_clusters(spark, sf):
     found, _ = clusters.find_clusters(_encoded_documents(spark, sf), TEXT_DISTANCE)
     return _rounded(found, "first_merge_distance", "avg_distance")
@@ -431,6 +445,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         nearest_neighbour,
         dup_vectors,
         ward_labels,
+        ward_labels_rounds,
+        ward_labels_levels,
         ward_clusters,
         cluster_filters,
         identical_clusters,

@@ -276,3 +276,6 @@ SQL: dict[str, str] = {
         UNION ALL SELECT cluster_no, doc_id, '    ' || path || ':' || line || chr(10)
         || array_to_string([CASE WHEN regexp_full_match(x, '\\s*') THEN x ELSE '    ' || x END FOR x IN string_split(text, chr(10))], chr(10)) || chr(10) FROM members""",
 }
+
+# the same result by other routes
+SQL |= {name: SQL["ward_labels"] for name in ("ward_labels_rounds", "ward_labels_levels")}

@@ -144,6 +144,30 @@ def test_clusters_equal_naive_ward(spark, how):
     assert any(v > 0 for v in first.values()) and any(v == 0 for v in first.values())
 
 
+def ordered_ward(x, t):
+    """Merge the pair of least (height rounded to 9 places, lo, hi) until the cut."""
+    groups = {i: [i] for i in range(len(x))}
+    while True:
+        pairs = []
+        for a in groups:
+            for b in groups:
+                if a < b:
+                    wa, wb = len(groups[a]), len(groups[b])
+                    h = np.sqrt(2 * wa * wb / (wa + wb)) * np.linalg.norm(x[groups[a]].mean(0) - x[groups[b]].mean(0))
+                    pairs.append((round(h, 9), a, b))
+        if not pairs or not min(pairs)[0] < t:
+            return {i: k for k, g in groups.items() for i in g}
+        _, a, b = min(pairs)
+        groups[a] += groups.pop(b)
+
+
+@pytest.mark.parametrize("how", [{}, {"cap": 6, "chunk": 7}, {"levels": [0.1, 0.15]}])
+def test_tied_distances_fall_alike_on_all_routes(spark, how):
+    x = np.array([[0.1 * i, 0.1 * j, 0.7] for i in range(4) for j in range(4)])[np.random.default_rng(5).permutation(16)]
+    points = cut(spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "id long, weight long, vec array<double>"))
+    assert {r.id: r.cluster_id for r in ward_clusters(points, 0.25, **how).collect()} == ordered_ward(x, 0.25)
+
+
 def test_ward_leaves_far_points_alone(spark):
     points = point_table(spark, np.eye(4, dtype="float32"))
     assert {(r.id, r.cluster_id) for r in ward_clusters(points, 0.5).collect()} == {(i, i) for i in range(4)}
