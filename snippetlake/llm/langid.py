@@ -4,7 +4,8 @@ Four kinds of evidence about a text's language are multiplied: the likelihood of
 the language its markup declares, the suffix of its address, and what its host mostly writes.
 
 * Trigram models are counted over all texts by the language they declare, over hashed trigrams of bytes, by
-  one grouped aggregation. Seed words stand in for languages nobody declares.
+  one grouped aggregation. Every language declared by texts of enough letters has a model; seed words
+  stand in for languages nobody declares.
 * How far a declaration or suffix can be trusted is the table of (evidence, language the text alone
   speaks for), counted by a grouped aggregation.
 * A host's prior is its own counts smoothed by those of its domain, those by the whole table's.
@@ -25,20 +26,20 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snippetlake.llm.tokenout import slices
 from snippetlake.session import cut
 
-#: Languages told apart, each with seed words (fixed values), in the order of the model's columns.
+#: Languages told apart even if nobody declares them, each with seed words (fixed values); they come first
+#: in the order of the model's columns, other declared languages follow.
 SEEDS = {
     "de": "der die und das nicht mit von ein den ist im auch für sich auf",
     "en": "the of and to in is that it was for with as on be at by",
     "es": "el la de que y los en un las por con para una su no",
     "fr": "le la les des et en un que pour dans qui est par pas sur",
 }
-LANGUAGES = tuple(SEEDS)
 #: What a rejected text is given.
 UNDETERMINED = "und"
 BUCKETS = 1 << 13
@@ -103,28 +104,37 @@ _LETTER[[*range(97, 123), *range(128, 256)]] = True
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((len(LANGUAGES), BUCKETS), np.int64)
+    total: dict[str, np.ndarray] = {}
     for batch in slices(batches, "text", PORTION):
         grams, text, _ = _trigrams(batch.column(0))
-        which = pc.index_in(batch.column(1), pa.array(LANGUAGES)).fill_null(len(LANGUAGES)).to_numpy(zero_copy_only=False)
-        total += np.bincount(which[text] * BUCKETS + grams, minlength=(len(LANGUAGES) + 1) * BUCKETS)[: total.size].reshape(total.shape)
-    language, bucket = np.nonzero(total)
-    yield pa.record_batch({"language": pa.array(language.astype(np.int32)), "bucket": pa.array(bucket.astype(np.int32)), "n": pa.array(total[language, bucket])})
-
-
-def train(docs: DataFrame, names: Columns = Columns()) -> np.ndarray:
-    """Log probabilities of trigram buckets, a row per language, from all texts by declared language. At
-    most ``len(LANGUAGES) * BUCKETS`` counts come to the driver."""
+        declared = batch.column(1).dictionary_encode()
+        which = declared.indices.fill_null(-1).to_numpy(zero_copy_only=False)[text]
+        for i, language in enumerate(declared.dictionary.to_pylist()):
+            if language not in total:
+                total[language] = np.zeros(BUCKETS, np.int64)
+            total[language] += np.bincount(grams[which == i], minlength=BUCKETS)
+    for language, counts in total.items():
+        bucket = np.flatnonzero(counts)
+        yield pa.record_batch({"language": pa.array([language] * len(bucket), pa.string()), "bucket": pa.array(bucket.astype(np.int32)), "n": pa.array(counts[bucket])})
+
+
+def train(docs: DataFrame, names: Columns = Columns()) -> tuple[list[str], np.ndarray]:
+    """The languages, and log probabilities of trigram buckets, a row per language, from all texts by
+    declared language. At most ``BUCKETS`` counts per language come to the driver."""
     read = docs.select(F.col(names.text).cast("string").alias("text"), _evidence(docs, names)[0])
-    rows = read.mapInArrow(_count, "language int, bucket int, n bigint").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros((len(LANGUAGES), BUCKETS))
-    for r in rows.collect():
-        counts[r.language, r.bucket] = r.n
+    rows = read.mapInArrow(_count, "language string, bucket int, n bigint").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
+    enough = (F.sum("n").over(Window.partitionBy("language")) >= ENOUGH) | F.col("language").isin(*SEEDS)
+    found = rows.select("language", "bucket", "n", enough.alias("enough")).where("enough").collect()
+    languages = [*SEEDS, *sorted({r.language for r in found} - set(SEEDS))]
+    place = {language: i for i, language in enumerate(languages)}
+    counts = np.zeros((len(languages), BUCKETS))
+    for r in found:
+        counts[place[r.language], r.bucket] = r.n
     for i, seed in enumerate(SEEDS.values()):
         grams, _, _ = _trigrams(pa.array([f" {seed} "]))
         np.add.at(counts[i], grams, 1)
     counts += 0.1
-    return np.log(counts / counts.sum(1, keepdims=True))
+    return languages, np.log(counts / counts.sum(1, keepdims=True))
 
 
 def _likelihoods(model: np.ndarray):
@@ -145,40 +155,40 @@ def _likelihoods(model: np.ndarray):
     return work
 
 
-def _by_language(value: Column) -> list[Column]:
+def _by_language(value: Column, k: int) -> list[Column]:
     """One column per language: how often the text alone spoke for it."""
-    return [F.coalesce(F.sum((value == i).cast("double")), F.lit(0.0)).alias(f"n{i}") for i in range(len(LANGUAGES))]
+    return [F.coalesce(F.sum((value == i).cast("double")), F.lit(0.0)).alias(f"n{i}") for i in range(k)]
 
 
-def _listed() -> Column:
-    return F.array(*[F.col(f"n{i}") for i in range(len(LANGUAGES))])
+def _listed(k: int) -> Column:
+    return F.array(*[F.col(f"n{i}") for i in range(k)])
 
 
 def judge(docs: DataFrame, names: Columns = Columns()) -> DataFrame:
     """(id, language, posterior, kept) of every row of ``docs``."""
-    k = len(LANGUAGES)
-    model = train(docs, names)
+    languages, model = train(docs, names)
+    k = len(languages)
     read = docs.select(F.col(names.key).cast("bigint").alias("id"), F.col(names.text).cast("string").alias("text"), *_evidence(docs, names))
     schema = "id bigint, markup string, suffix string, host string, letters bigint, likelihood array<double>"
     spoken = F.expr(f"array_position(slice(likelihood, 1, {k}), array_max(slice(likelihood, 1, {k}))) - 1")
     scored = cut(read.mapInArrow(_likelihoods(model), schema).withColumn("spoken", F.when(F.col("letters") > 0, spoken)).withColumn("domain", F.regexp_extract("host", r"([^.]*\.[^.]*)$", 1)))
     sure = scored.where("spoken is not null")
-    whole = [float(x) for x in sure.agg(*_by_language(F.col("spoken"))).first()]
+    whole = [float(x) for x in sure.agg(*_by_language(F.col("spoken"), k)).first()]
     shares = [(x + DOUBT) / (sum(whole) + k * DOUBT) for x in whole]
 
     def trust(column: str) -> DataFrame:
         """log P(evidence | language), one row per value."""
-        kinds = sure.where(F.col(column).isNotNull()).groupBy(column).agg(*_by_language(F.col("spoken")))
+        kinds = sure.where(F.col(column).isNotNull()).groupBy(column).agg(*_by_language(F.col("spoken"), k))
         logs = [F.log((F.col(f"n{i}") + DOUBT) / (whole[i] + 20 * DOUBT)) for i in range(k)]
         return cut(kinds.select(column, F.array(*logs).alias(f"by_{column}")))
 
     def smoothed(above: Column, doubt: float) -> Column:
-        total = F.aggregate(_listed(), F.lit(0.0), lambda a, x: a + x)
-        return F.transform(F.arrays_zip(_listed().alias("own"), above.alias("above")), lambda x: (x.own + doubt * x.above) / (total + doubt))
+        total = F.aggregate(_listed(k), F.lit(0.0), lambda a, x: a + x)
+        return F.transform(F.arrays_zip(_listed(k).alias("own"), above.alias("above")), lambda x: (x.own + doubt * x.above) / (total + doubt))
 
-    domains = sure.where("domain <> ''").groupBy("domain").agg(*_by_language(F.col("spoken")))
+    domains = sure.where("domain <> ''").groupBy("domain").agg(*_by_language(F.col("spoken"), k))
     domains = cut(domains.select("domain", smoothed(F.array(*map(F.lit, shares)), DOMAIN_DOUBT).alias("above")))
-    hosts = sure.where("host is not null").groupBy("host", "domain").agg(*_by_language(F.col("spoken"))).join(domains, "domain", "left")
+    hosts = sure.where("host is not null").groupBy("host", "domain").agg(*_by_language(F.col("spoken"), k)).join(domains, "domain", "left")
     hosts = cut(hosts.select("host", smoothed(F.coalesce("above", F.array(*map(F.lit, shares))), HOST_DOUBT).alias("prior")))
     fused = scored
     for column, table in (("markup", trust("markup")), ("suffix", trust("suffix")), ("host", hosts)):
@@ -194,6 +204,6 @@ def judge(docs: DataFrame, names: Columns = Columns()) -> DataFrame:
     with_logs = fused.select("id", "letters", F.array(*logs, flat).alias("logs")).withColumn("top", F.array_max("logs"))
     total = F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     best = (F.array_position("logs", F.col("top")) - 1).cast("int")
-    named = F.element_at(F.array(*[F.lit(x) for x in (*LANGUAGES, UNDETERMINED)]), best + 1)
+    named = F.element_at(F.array(*[F.lit(x) for x in (*languages, UNDETERMINED)]), best + 1)
     language = F.when(F.col("letters") > 0, named).otherwise(UNDETERMINED)
     return with_logs.select("id", language.alias("language"), (1 / total).alias("posterior"), (language != UNDETERMINED).alias("kept"))

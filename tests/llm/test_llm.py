@@ -329,6 +329,14 @@ def test_language(spark, sf):
     assert judged[1].language == "fr" and judged[2].language != "und" and judged[3].language == "und" and not judged[3].kept
 
 
+def test_declared_languages_are_learned(spark):
+    rng = random.Random(8)
+    words_by = {"ru": "река старый город мост вода соль дом день время рынок торговля стоит".split(), "en": "the river and old town bridge water for salt house day market trade".split()}
+    made = [(10 * i + j, " ".join(rng.choice(words_by[c]) for _ in range(30)), c) for i in range(20) for j, c in enumerate(words_by)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string").withColumn("source", F.lit("src0"))
+    assert all(r.kept and r.language == c for r, (_, _, c) in zip(langid.judge(docs).orderBy("id").collect(), sorted(made), strict=True))
+
+
 def test_toxicity(spark, sf):
     scores = rows(queries.op6_toxicity(spark, sf))
     assert len(scores) == len(texts()) and all(0 <= r["score"] <= 1 for r in scores)
