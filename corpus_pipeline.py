@@ -27,17 +27,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row of the smallest id stays; of rows that repeat an id and its
-    text one stays; rows without an id or without words stay."""
+    text one stays; rows without an id or without words stay. A key of id and text names the decision, so an
+    id that names several texts loses only those that have a near duplicate."""
     ship(spark)
-    linked = neardup.components(docs.select("doc_id", "text"), percent=80, scheme=neardup.SCHEME_80)
-    gone = cut(linked.where("id <> component_id").select(F.col("id").alias("gone_id")).distinct())
-    again = cut(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("again_id")).agg(F.count("*").alias("n")).where("n > 1").select("again_id"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_text"))
-    rows = rows.join(gone, F.col("own_id") == F.col("gone_id"), "left_anti")
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias("own_key")
+    keyed = docs.select(key, "doc_id", "text")
+    linked = neardup.components(keyed, percent=80, scheme=neardup.SCHEME_80, key="own_key")
+    grouped = linked.where("id is not null").select(F.col("id").alias("own_key"), "component_id").distinct()
+    several = cut(grouped.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id"))
+    members = cut(grouped.join(several, "component_id").join(keyed.select("own_key", "doc_id").distinct(), "own_key"))
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "own_key")).alias("first"))
+    gone = cut(members.join(first, "component_id").where(F.col("own_key") != F.col("first.own_key")).select(F.col("own_key").alias("gone_key")))
+    again = cut(keyed.where("own_key is not null").groupBy(F.col("own_key").alias("again_key")).agg(F.count("*").alias("n")).where("n > 1").select("again_key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key)
+    rows = rows.join(gone, F.col("own_key") == F.col("gone_key"), "left_anti")
     if again.isEmpty():
         return rows.select("row.*")
-    once = rows.join(again, F.col("own_id") == F.col("again_id"), "left_anti").select("row.*")
-    repeated = rows.join(again, F.col("own_id") == F.col("again_id"), "left_semi").dropDuplicates(["own_id", "own_text"])
+    once = rows.join(again, F.col("own_key") == F.col("again_key"), "left_anti").select("row.*")
+    repeated = rows.join(again, F.col("own_key") == F.col("again_key"), "left_semi").dropDuplicates(["own_key"])
     return once.unionByName(repeated.select("row.*"))
 
 

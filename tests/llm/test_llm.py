@@ -370,3 +370,10 @@ def test_pipeline_of_repeated_and_nameless_rows(spark):
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "A.")], "doc_id long, text string").selectExpr("*", "'en' AS lang", "null AS source", "9L AS n_chars")
     kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.language_id(spark, docs, ""), "")
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None"]
+
+
+def test_an_id_of_two_texts_loses_only_the_near_duplicate(spark):
+    rng = random.Random(12)
+    one, other = sentence(rng, 60), sentence(rng, 60)
+    docs = spark.createDataFrame([(5, one), (7, one), (7, other), (7, other)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [(5, one), (7, other)]
