@@ -28,7 +28,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
     rows = []
     for row in df.itertuples(index=False):
-        rows.append(tuple(None if v is None or v != v else (float(v) if isinstance(v, float) else (int(v) if hasattr(v, "__int__") and not isinstance(v, str) else v)) for v in row))
+        rows.append(tuple(None if v is None or v is pd.NA or v != v else (float(v) if isinstance(v, float) else (int(v) if hasattr(v, "__int__") and not isinstance(v, str) else v)) for v in row))
     return sorted(rows, key=lambda r: tuple((v is None, str(type(v)), v if v is not None else 0) for v in r))
 
 
