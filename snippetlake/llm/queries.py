@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snippetlake.llm import decontaminate, langid, neardup, packing, secrets, substrings, tokenout, topk, toxicity, urlfilter
+from snippetlake.llm import decontaminate, filteraudit, langid, neardup, packing, secrets, substrings, tokenout, topk, toxicity, urlfilter, warc
+from snippetlake.session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +87,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.pages(warc.transactions(cut(warc.records(spark, folder))))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_decontamination": op3_decontamination,
@@ -97,4 +108,6 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_token_output": op9_token_output,
     "op10_secret_scan": op10_secret_scan,
+    "op11_warc": op11_warc,
+    "op12_filter_audit": op12_filter_audit,
 }
