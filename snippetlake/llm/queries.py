@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snippetlake.llm import decontaminate, filteraudit, langid, neardup, packing, secrets, substrings, tokenout, topk, toxicity, urlfilter, warc
+from snippetlake.llm import decontaminate, divergence, filteraudit, langid, neardup, packing, secrets, substrings, tokenout, topk, toxicity, urlfilter, warc
 from snippetlake.session import cut
 
 
@@ -97,6 +97,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_decontamination": op3_decontamination,
@@ -110,4 +114,5 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_warc": op11_warc,
     "op12_filter_audit": op12_filter_audit,
+    "op13_source_divergence": op13_source_divergence,
 }

@@ -91,4 +91,35 @@ SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed:
 FROM counted
 """
 
-SQL = {"op7_top_k": OP7, "op8_url_filter": OP8, "op11_warc": OP11, "op12_filter_audit": OP12}
+OP13 = rf"""
+WITH texts AS (SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT row_id, lang, source, unnest(regexp_extract_all({_LOWER.format("t")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM texts),
+counted AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row_id) AS docs FROM found GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM counted GROUP BY ALL HAVING sum(docs) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY ALL),
+pairs_of AS (SELECT DISTINCT lang, source FROM texts),
+own AS (SELECT c.lang, source, term, c.n FROM counted c JOIN kept k USING (lang, term)),
+totals AS (SELECT lang, source, sum(n) AS total FROM own GROUP BY ALL),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(o.n, 0) + 2) // (coalesce(t.total, 0) + 2 * l.v) AS p,
+    1 + 1000000000::HUGEINT * (k.n + 2) // (l.total + 2 * l.v) AS q
+  FROM pairs_of g JOIN langs l USING (lang) JOIN kept k USING (lang)
+    LEFT JOIN totals t USING (lang, source) LEFT JOIN own o USING (lang, source, term)),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM pairs_of g JOIN pairs_of h ON g.lang = h.lang AND g.source <> h.source
+    LEFT JOIN apart a ON a.lang = g.lang AND a.source = g.source AND a.item = h.source),
+term AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM dense WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+WHERE part = 'pair' OR rank <= 10
+"""
+
+SQL = {"op7_top_k": OP7, "op8_url_filter": OP8, "op11_warc": OP11, "op12_filter_audit": OP12, "op13_source_divergence": OP13}
