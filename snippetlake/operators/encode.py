@@ -11,17 +11,23 @@ from pyspark.sql import types as T
 
 from ..functions.binding import let
 from ..functions.vectors import l2_normalize
+from ..session import cut
+from ..sources.encodings import EncodingTable, text_digest
 
 DEFAULT_BATCH_SIZE = 32
 
 
 @dataclass(frozen=True)
 class Encoder:
-    """``encode`` maps a text column to an ``ARRAY<FLOAT>`` column of ``dim`` values."""
+    """``encode`` maps a text column to an ``ARRAY<FLOAT>`` column of ``dim`` values.
+
+    ``reuse``: encoding costs more than looking a vector up, so ingest keeps vectors by content.
+    """
 
     name: str
     dim: int
     encode: Callable[[Column], Column]
+    reuse: bool = False
 
 
 def token_buckets(text: Column, buckets: int) -> Column:
@@ -71,7 +77,7 @@ def model_encoder(name: str, dim: int, make_predict_fn: Callable, batch_size: in
     from pyspark.ml.functions import predict_batch_udf
 
     predict = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
-    return Encoder(name, dim, predict)
+    return Encoder(name, dim, predict, reuse=True)
 
 
 def encode_texts(df: DataFrame, encoder: Encoder, text: str = "text", out: str = "embedding") -> DataFrame:
@@ -83,6 +89,28 @@ def encode_texts(df: DataFrame, encoder: Encoder, text: str = "text", out: str =
     return raw.select(*rest, checked.alias(out)).select(*rest, l2_normalize(F.col(out)).alias(out))
 
 
+def encode_once(df: DataFrame, encoder: Encoder, table: EncodingTable, key: str, text: str = "text", out: str = "embedding") -> DataFrame:
+    """As ``encode_texts``, but only texts that ``table`` has no vector of are encoded, each distinct one
+    once, and added to it. ``key`` is unique in ``df``, which should be cheap to read twice.
+
+    Digests are compared on narrow rows; a text moves only if it is the one to be encoded. Copies
+    combine before the shuffle, and the last join has plain sides, so a text that a third of the rows share
+    can be split.
+    """
+    rest = [c for c in df.columns if c != text]
+    named = cut(df.select(*rest, text_digest(F.col(text)).alias("_digest")))
+    first = named.groupBy("_digest").agg(F.min(key).alias(key))
+    known = table.vectors(encoder.name).select(F.col("digest").alias("_digest"))
+    new = cut(first.join(known, "_digest", "left_anti"))
+    if not new.isEmpty():
+        texts = df.select(key, F.coalesce(F.col(text), F.lit("")).alias(text)).join(new, key)
+        # spread again: the join may have dealt few large partitions, and encoding is the costly part
+        spreaded = texts.select(F.col("_digest").alias("digest"), text).repartition("digest")
+        table.append(encoder.name, encode_texts(spreaded, encoder, text, "embedding"))
+    vectors = table.vectors(encoder.name).select(F.col("digest").alias("_digest"), F.col("embedding").alias(out))
+    return named.join(vectors, "_digest").select(*rest, out)
+
+
 def declared_dim(spark, encoder: Encoder) -> int:
     """Dimension found by encoding one dummy text; raises if it is not the declared one."""
     dim = encode_texts(spark.createDataFrame([("dummy",)], "text string"), encoder).select(F.size("embedding")).first()[0]

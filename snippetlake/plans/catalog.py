@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from ..sources import manifest as M
 from ..sources.store import VectorStore
 from ..streaming import ingest_stream
 from . import derived as D
+from .ingest import remove_files as drop_files
 from .ingest import upsert
 from .query import search as stored_hits
 
@@ -186,6 +188,15 @@ def delete_missing(spark, sf):
     return _two_versions(spark, sf, prune_deleted=True).vectors().select("vector_id", "path", "ord", "line")
 
 
+def remove_files(spark, sf):
+    """Files of good quality leave the table, but only below one project's folder"""
+    store = VectorStore(spark, _scratch(spark, "store"))
+    encoder = encode.hash_encoder()
+    upsert(store, snapshot_files(spark, sf, 1), encoder)
+    drop_files(store, D.allowed_files(spark, sf), "/proj/src1")
+    return store.functions()
+
+
 def compacted_view(spark, sf):
     store = _two_versions(spark, sf, prune_deleted=True)
     store.compact()
@@ -213,6 +224,26 @@ def stream_ingest(spark, sf):
     return store.vectors().select("path", "ord", "line")
 
 
+def encode_once(spark, sf):
+    """Two versions with vectors kept by content: every text that was encoded, by which batch, its vector
+    in brief, and how many functions in force use it."""
+    store = VectorStore(spark, _scratch(spark, "store"))
+    encoder = replace(encode.hash_encoder(), reuse=True)
+    for version in (1, 2):
+        upsert(store, snapshot_files(spark, sf, version), encoder)
+    total = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")), 6)
+    used = store.vectors().groupBy("embedding").agg(F.count("*").alias("functions"))
+    texts = store.encodings().vectors(encoder.name)
+    # texts of the same tokens have the same vector, so functions are counted by vector
+    return texts.join(used, "embedding", "left").select(
+        F.lower(F.hex("digest")).alias("digest"),
+        F.col("batch_id").alias("batch"),
+        F.size(F.filter("embedding", lambda x: x != 0)).alias("buckets"),
+        total(F.col("embedding")).alias("total"),
+        F.coalesce("functions", F.lit(0)).alias("functions"),
+    )
+
+
 def orphan_vectors(spark, sf):
     return maintenance.orphans(D.vectors(spark, sf), D.live_functions(spark, sf)).select("vector_id", "path")
 
@@ -420,9 +451,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         files_arrays,
         upsert_current_view,
         delete_missing,
+        remove_files,
         compacted_view,
         model_switch,
         stream_ingest,
+        encode_once,
         orphan_vectors,
         orphan_prune,
         index_counts,

@@ -211,10 +211,23 @@ SQL: dict[str, str] = {
         FROM src LEFT JOIN numbered USING (path) GROUP BY src.path""",
     "upsert_current_view": f"WITH {_LIVE_VIEW} SELECT vector_id, path, ord, line FROM live",
     "delete_missing": f"WITH {_LIVE_VIEW} SELECT vector_id, path, ord, line FROM live WHERE path IN (SELECT path FROM v2)",
+    "remove_files": f"""WITH {_SNAPSHOTS}, {_functions('v1', 'f1')}, allowed AS ({_ALLOWED}),
+        ids AS (SELECT path, line, row_number() OVER (ORDER BY path, ord) - 1 AS vector_id FROM f1)
+        SELECT path, line, vector_id FROM ids WHERE NOT (starts_with(path, '/proj/src1') AND path IN (SELECT path FROM allowed))""",
     "compacted_view": f"WITH {_LIVE_VIEW} SELECT path, line, vector_id FROM live WHERE path IN (SELECT path FROM v2)",
     "model_switch": f"""WITH {_SNAPSHOTS}, {_functions('v2')} SELECT 'token-hash-64' AS model_name, 64 AS dim, count(*) AS next_vector_id,
         count(*) AS vectors, 0 AS first_id, count(*) - 1 AS last_id FROM fn""",
     "stream_ingest": f"WITH {_LIVE_VIEW} SELECT path, ord, line FROM live",
+    "encode_once": f"""WITH {_SNAPSHOTS}, {_functions('v1', 'f1')},
+        todo AS (SELECT doc_id, path, content, md5, status FROM plan WHERE status <> 'unchanged'), {_functions('todo', 'f2')},
+        batches AS (SELECT text, min(batch) AS batch FROM (SELECT text, 0 AS batch FROM f1 UNION ALL SELECT text, 1 FROM f2) GROUP BY text),
+        seen AS (SELECT text, sha256(text) AS digest, batch FROM batches), {_encoded('seen', 'digest', 'enc')},
+        whole AS (SELECT digest, coalesce(list((bucket, value) ORDER BY bucket) FILTER (bucket IS NOT NULL), []) AS vec,
+          count(bucket) AS buckets, coalesce(sum(value), 0) AS total FROM seen LEFT JOIN enc USING (digest) GROUP BY digest),
+        live AS (SELECT text FROM f1 WHERE path NOT IN (SELECT path FROM todo) UNION ALL SELECT text FROM f2),
+        used AS (SELECT vec, count(*) AS functions FROM live JOIN whole ON digest = sha256(text) GROUP BY vec)
+        SELECT digest, batch, buckets, round(total, 6) AS total, coalesce(functions, 0) AS functions
+        FROM whole JOIN seen USING (digest) LEFT JOIN used USING (vec)""",
     "orphan_vectors": f"WITH {_VECTORS} SELECT vector_id, path FROM vectors WHERE vector_id NOT IN (SELECT doc_id FROM labels)",
     "orphan_prune": f"WITH {_VECTORS} SELECT vector_id, path, line FROM vectors WHERE vector_id IN (SELECT doc_id FROM labels)",
     "index_counts": """SELECT count(*) AS vectors, count(*) FILTER (WHERE vec_id NOT IN (SELECT doc_id FROM labels)) AS orphans FROM embeddings""",

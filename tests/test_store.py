@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from snippetlake.operators.encode import hash_encoder
+from snippetlake.operators.encode import encode_once, encode_texts, hash_encoder, model_encoder
 from snippetlake.operators.maintenance import list_functions, orphans, prune_orphans, vector_ids_of_files, vectors_by_id
 from snippetlake.plans.cluster import cluster
-from snippetlake.plans.ingest import ingest, upsert
+from snippetlake.plans.ingest import ingest, remove_files, upsert
 from snippetlake.plans.query import search, search_text
 from snippetlake.sources.store import ModelMismatch, StoreNotFound, VectorStore
 from snippetlake.streaming import ingest_stream
@@ -186,3 +186,83 @@ def test_vectors_are_unit(spark, store):
     upsert(store, files(spark, ("/a", "x y\nz", 0, TREE)), ENC)
     norms = [np.linalg.norm(r.embedding) for r in store.vectors().collect()]
     assert np.allclose(norms, 1.0)
+
+
+def counting_encoder(log, name="counting"):
+    """Writes down every text it is asked for; local mode, so the folder is shared."""
+
+    def load():
+        import uuid
+
+        def predict(texts):
+            with open(f"{log}/{uuid.uuid4().hex}", "w") as out:
+                out.writelines(f"{t}\x00" for t in texts)
+            return np.array([[len(t), 1.0, 2.0] for t in texts], dtype="float32")
+
+        return predict
+
+    return model_encoder(name, 3, load, batch_size=4)
+
+
+def asked(log):
+    found = sorted(t for f in log.iterdir() for t in f.read_text().split("\x00")[:-1])
+    for f in log.iterdir():
+        f.unlink()
+    return found
+
+
+def test_each_text_is_encoded_once(spark, store, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    enc = counting_encoder(log)
+    assert enc.reuse and not hash_encoder().reuse
+    upsert(store, files(spark, ("/a", "x\ny", 0, TREE), ("/b", "x\nx", 0, TREE), ("/c", "w", 0, ONE)), enc)
+    assert asked(log) == ["w", "x", "y"]
+    # renamed, moved, edited and copied
+    upsert(store, files(spark, ("/moved", "x\ny", 9, TREE), ("/c", "w\nq", 9, TREE), ("/copy", "w", 9, ONE)), enc)
+    assert asked(log) == ["q"]
+    got = {(r.path, r.ord): r.embedding for r in store.vectors().collect()}
+    one = got["/a", 0]
+    assert len(got) == 9 and all(got[k] == one for k in (("/b", 0), ("/b", 1), ("/moved", 0), ("/c", 0), ("/copy", 0)))
+    # another model encodes anew, the first one finds its vectors again
+    upsert(store, files(spark, ("/a", "x", 20, ONE)), counting_encoder(log, "second"))
+    assert asked(log) == ["x"]
+    upsert(store, files(spark, ("/a", "x\ny", 30, TREE), ("/n", "new", 30, ONE)), enc)
+    assert asked(log) == ["new"] and store.head().generation == 2
+
+
+def test_encode_once_of_odd_rows(spark, tmp_path):
+    from snippetlake.sources.encodings import EncodingTable
+
+    enc, table = hash_encoder(16), EncodingTable(spark, str(tmp_path / "encodings"))
+    rows = [(1, "a b", "p"), (2, None, "q"), (3, "", "r"), (4, "a b", "s"), (5, "B a", "t")]
+    df = spark.createDataFrame(rows, "k long, text string, digest string")
+    got = {r.k: (r.digest, r.embedding) for r in encode_once(df, enc, table, "k").collect()}
+    plain = {r.k: r.embedding for r in encode_texts(df.na.fill("", ["text"]), enc).collect()}
+    assert {k: v[1] for k, v in got.items()} == plain and got[4][0] == "s"
+    assert sorted(r.texts for r in table.commits(enc.name).collect()) == [3]
+    # what an interrupted batch left is not seen, and the next batch takes its place
+    (tmp_path / "encodings/commits").rename(tmp_path / "lost")
+    assert table.vectors(enc.name).count() == 0
+    assert encode_once(df, enc, table, "k").count() == 5 and table.vectors(enc.name).count() == 3
+    assert encode_once(df.limit(0), enc, table, "k").count() == 0 and table.commits(enc.name).count() == 1
+
+
+def test_digests_move_and_texts_stay(spark, tmp_path):
+    """Once every text is known, no text is shuffled."""
+    from snippetlake.sources.encodings import EncodingTable
+
+    enc, table = hash_encoder(16), EncodingTable(spark, str(tmp_path / "encodings"))
+    df = spark.createDataFrame([(i, f"t{i % 5}") for i in range(50)], "k long, text string")
+    encode_once(df, enc, table, "k").count()
+    plan = encode_once(df, enc, table, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan
+
+
+def test_removed_files(spark, store):
+    upsert(store, files(spark, ("/p/a", "x\ny", 0, TREE), ("/q/a", "u", 0, ONE), ("/p/none", "v", 0, NONE)), ENC)
+    named = spark.createDataFrame([("/p/a",), ("/q/a",), ("/p/none",), ("/p/strange",), ("/p/a",)], "path string")
+    assert remove_files(store, named, "/p/") == 2
+    assert view(store) == [("/q/a", 0, 0, 2)] and [r.path for r in store.files().collect()] == ["/q/a"]
+    assert remove_files(store, named, "/p/") == 0
+    assert upsert(store, files(spark, ("/p/a", "x", 0, ONE)), ENC)["new"] == 1 and len(view(store)) == 2
