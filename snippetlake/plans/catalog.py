@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as X
 from ..functions.vectors import l2_normalize
-from ..operators import changes, clusters, components, context, encode, extract, maintenance, nearjoin, numbering, report, search, ward
+from ..operators import changes, clusters, components, context, encode, extract, maintenance, mergetree, nearjoin, numbering, report, search, ward
 from ..session import cut, shared_dir, spread
 from ..sources import manifest as M
 from ..sources.store import VectorStore
@@ -25,6 +26,7 @@ from .query import search as stored_hits
 EMBEDDING_DISTANCE = 1.2
 ROUTE_CHUNK = 64
 TEXT_DISTANCE = 0.2
+TREE_CUTS = (1.0, 1.1, EMBEDDING_DISTANCE)
 IDENTICAL_DISTANCE = 1e-6
 
 
@@ -400,6 +402,34 @@ def ward_labels_levels(spark, sf):
     return owner.select(F.col("id").alias("vector_id"), "cluster_id")
 
 
+def _embedding_tree(spark, sf):
+    points = _embedding_points(spark, sf)
+    return points, mergetree.MergeTree(cut(ward.ward_merges(points, EMBEDDING_DISTANCE)[1]), EMBEDDING_DISTANCE)
+
+
+def merge_tree(spark, sf):
+    """Every merge of the embeddings, in order, from a tree that was stored."""
+    place = _scratch(spark, "tree")
+    _embedding_tree(spark, sf)[1].save(place)
+    return _rounded(mergetree.load_tree(spark, place).steps(), "height")
+
+
+def cut_tree(spark, sf):
+    """One tree, cut at three heights."""
+    points, tree = _embedding_tree(spark, sf)
+    cuts = [tree.labels(points.select("id"), t).select(F.lit(t).alias("max_distance"), F.col("id").alias("vector_id"), "cluster_id") for t in TREE_CUTS]
+    return reduce(DataFrame.unionByName, cuts)
+
+
+def tree_clusters(spark, sf):
+    """Clusters of the documents at two heights, sizes and first merges looked up in one tree."""
+    vectors = cut(_encoded_documents(spark, sf).select("vector_id", "embedding"))
+    tree = clusters.merge_tree(vectors, TEXT_DISTANCE)
+    ids = clusters.unit_vectors(vectors).select(F.col("vector_id").alias("id"))
+    found = [tree.clusters(ids, t).withColumn("max_distance", F.lit(t)) for t in (TEXT_DISTANCE, TEXT_DISTANCE / 2)]
+    return _rounded(reduce(DataFrame.unionByName, found), "first_merge_distance")
+
+
 def ward_clusters(spark, sf):
     found, _ = clusters.find_clusters(_encoded_documents(spark, sf), TEXT_DISTANCE)
     return _rounded(found, "first_merge_distance", "avg_distance")
@@ -480,6 +510,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ward_labels,
         ward_labels_rounds,
         ward_labels_levels,
+        merge_tree,
+        cut_tree,
+        tree_clusters,
         ward_clusters,
         cluster_filters,
         identical_clusters,

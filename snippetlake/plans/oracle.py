@@ -167,7 +167,31 @@ found AS (SELECT cluster_id, any_value(size) AS size, max(leaf) FILTER (WHERE p.
   FROM points p JOIN pts a ON a.id = cluster_id JOIN pts b ON b.id = p.id GROUP BY cluster_id)"""
 
 
+def _merges(points: str, height: float) -> str:
+    """The same rounds, with every merge written down: (id, into, h, size)."""
+    return _ward(points, height).replace(
+        "[{'id': id, 'leaf': 0.0::DOUBLE}]", "[]::STRUCT(id BIGINT, \"into\" BIGINT, h DOUBLE, size BIGINT)[]"
+    ).replace(
+        "CASE WHEN a.w = 1 AND b.w = 1 THEN [{'id': a.id, 'leaf': sqrt(h2)}, {'id': b.id, 'leaf': sqrt(h2)}]\n      ELSE list_concat(a.members, b.members) END",
+        "list_concat(list_concat(a.members, b.members), [{'id': b.id, 'into': a.id, 'h': sqrt(h2), 'size': a.w + b.w}])",
+    )
+
+
+_EMBEDDED = "pts AS (SELECT vec_id AS id, 1 AS w, embedding::DOUBLE[] AS v FROM embeddings)"
+
+
 SQL: dict[str, str] = {
+    "merge_tree": f"""{_merges(_EMBEDDED, 1.2)}
+        SELECT row_number() OVER (ORDER BY round(m.h, 9), m."into", m.id) - 1 AS step, m."into" AS "left", m.id AS "right",
+          round(m.h, 6) AS height, m.size AS size FROM last""",
+    "cut_tree": " UNION ALL ".join(
+        f"SELECT {t}::DOUBLE AS max_distance, vector_id, cluster_id FROM ({_ward(_EMBEDDED, t)} SELECT m.id AS vector_id, cluster_id FROM last)" for t in (1.0, 1.1, 1.2)
+    ),
+    "tree_clusters": " UNION ALL ".join(
+        f"""SELECT {t}::DOUBLE AS max_distance, cluster_id, size, first_merge_distance FROM ({_ward(_DENSE, t)}
+        SELECT cluster_id, any_value(size) AS size, round(max(m.leaf) FILTER (WHERE m.id = cluster_id), 6) AS first_merge_distance FROM last WHERE size > 1 GROUP BY cluster_id)"""
+        for t in (0.2, 0.1)
+    ),
     "manifest_scan": f"""SELECT {_DOC_PATH} AS path, CASE WHEN doc_id % 19 <> 0 THEN {_DOC_PATH} || '.tree' END AS tree_path
         FROM documents WHERE doc_id % 23 <> 0
         UNION ALL SELECT '/proj/' || source || '/gone.py', '/proj/' || source || '/gone.py.tree' FROM (SELECT DISTINCT source FROM documents)""",
