@@ -19,6 +19,7 @@ from ..sources import manifest as M
 from ..sources.store import VectorStore
 from ..streaming import ingest_stream
 from . import derived as D
+from .clusterstate import ClusterState
 from .ingest import remove_files as drop_files
 from .ingest import upsert
 from .query import search as stored_hits
@@ -435,6 +436,23 @@ def ward_clusters(spark, sf):
     return _rounded(found, "first_merge_distance", "avg_distance")
 
 
+def _two_vector_tables(spark, sf):
+    """The encoded documents, and the same after every seventh was edited (under a new id) and every thirteenth removed."""
+    i = F.col("doc_id")
+    d = D.table(spark, sf, "documents").select("doc_id", "text")
+    edited = d.filter(i % 7 == 0).select((i + 1_000_000).alias("vector_id"), F.concat("text", F.lit("\nend")).alias("text"))
+    second = d.filter((i % 7 != 0) & (i % 13 != 0)).select(i.alias("vector_id"), "text").unionByName(edited)
+    return [encode.encode_texts(spread(t), encode.hash_encoder()) for t in (d.select(i.alias("vector_id"), "text"), second)]
+
+
+def clusters_after_upsert(spark, sf):
+    """Clusters kept up to date over two states of the table."""
+    state = ClusterState(spark, _scratch(spark, "clusters"), TEXT_DISTANCE)
+    for vectors in _two_vector_tables(spark, sf):
+        state.update(cut(vectors))
+    return _rounded(state.clusters(), "first_merge_distance", "avg_distance")
+
+
 def _report_sources(spark, sf):
     return D.table(spark, sf, "documents").select(D.document_path().alias("path"), F.col("text").alias("content"))
 
@@ -513,6 +531,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         merge_tree,
         cut_tree,
         tree_clusters,
+        clusters_after_upsert,
         ward_clusters,
         cluster_filters,
         identical_clusters,

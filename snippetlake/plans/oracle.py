@@ -192,6 +192,9 @@ SQL: dict[str, str] = {
         SELECT cluster_id, any_value(size) AS size, round(max(m.leaf) FILTER (WHERE m.id = cluster_id), 6) AS first_merge_distance FROM last WHERE size > 1 GROUP BY cluster_id)"""
         for t in (0.2, 0.1)
     ),
+    "clusters_after_upsert": f"""{_WARD.replace(_encoded('documents', 'doc_id', 'enc'), """edited AS (SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 13 <> 0
+          UNION ALL SELECT doc_id + 1000000, text || chr(10) || 'end' FROM documents WHERE doc_id % 7 = 0), """ + _encoded('edited', 'doc_id', 'enc'))}
+        SELECT cluster_id, size, round(first_merge_distance, 6) AS first_merge_distance, round(avg_distance, 6) AS avg_distance FROM found""",
     "manifest_scan": f"""SELECT {_DOC_PATH} AS path, CASE WHEN doc_id % 19 <> 0 THEN {_DOC_PATH} || '.tree' END AS tree_path
         FROM documents WHERE doc_id % 23 <> 0
         UNION ALL SELECT '/proj/' || source || '/gone.py', '/proj/' || source || '/gone.py.tree' FROM (SELECT DISTINCT source FROM documents)""",
