@@ -24,7 +24,7 @@ from .arrays import matrix
 
 DEFAULT_K = 5
 SCORE_DECIMALS = 9
-#: queries up to this many and this many bytes travel to every task; more are joined in blocks
+#: queries up to this many and this many bytes travel to every task; more visit cells of vectors
 BROADCAST_QUERIES = 4096
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 8192
@@ -59,7 +59,7 @@ def _best(query: np.ndarray, score: np.ndarray, key: np.ndarray, k: int) -> np.n
     return order[np.arange(len(q)) - start < k]
 
 
-class _Leaders:
+class Leaders:
     """Running best ``k`` rows per query of one task."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, schema: pa.Schema):
@@ -133,7 +133,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, max_broadc
     head = asked.limit(max_broadcast + 1).toArrow()
     if head.num_rows <= max_broadcast and head.nbytes <= BROADCAST_BYTES:
         return _rank(_scan(vectors, head, k, payload, out), k, payload)
-    return _rank(_blocks(vectors, asked, k, payload, out), k, payload)
+    from .cellsearch import build_cells, top_k_cells
+
+    return top_k_cells(build_cells(vectors), asked, k)
 
 
 def _scan(vectors: DataFrame, head: pa.Table, k: int, payload: list[str], out: T.StructType) -> DataFrame:
@@ -145,7 +147,7 @@ def _scan(vectors: DataFrame, head: pa.Table, k: int, payload: list[str], out: T
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        leaders = _Leaders(ids, q, k, schema)
+        leaders = Leaders(ids, q, k, schema)
         for batch in batches:
             leaders.add(pa.Table.from_batches([batch]), "embedding")
         best = leaders.result()
@@ -155,27 +157,6 @@ def _scan(vectors: DataFrame, head: pa.Table, k: int, payload: list[str], out: T
     return vectors.select(*payload, "embedding").mapInArrow(scan, out)
 
 
-def _blocks(vectors: DataFrame, asked: DataFrame, k: int, payload: list[str], out: T.StructType) -> DataFrame:
-    """Many queries: vectors and queries are cut into blocks by id hash and every pair of
-    blocks is one bounded group, which sends on at most ``k`` rows per query."""
-    n_v = max(1, -(-vectors.count() // BLOCK_ROWS))
-    n_q = max(1, -(-asked.count() // BLOCK_ROWS))
-    spread_v = F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))
-    spread_q = F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)))
-    left = vectors.select(*payload, "embedding", F.pmod(F.xxhash64("vector_id"), F.lit(n_v)).cast("int").alias("vb"), spread_v.alias("qb"))
-    right = asked.select("query_id", F.col("embedding").alias("vec"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), spread_q.alias("vb"))
-    schema = to_arrow_schema(out)
-
-    def pair(v: pa.Table, q: pa.Table) -> pa.Table:
-        if v.num_rows == 0 or q.num_rows == 0:
-            return schema.empty_table()
-        leaders = _Leaders(q["query_id"].to_numpy(), matrix(q["vec"]), k, schema)
-        leaders.add(v.select(payload + ["embedding"]), "embedding")
-        return leaders.result()
-
-    return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(pair, out)
-
-
 def text_queries(queries: DataFrame, encoder) -> DataFrame:
     """``(query_id, embedding)`` of the query texts that are not blank."""
     from .encode import encode_texts

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as X
 from ..functions.vectors import l2_normalize
-from ..operators import changes, clusters, components, context, encode, extract, maintenance, mergetree, nearjoin, numbering, report, search, ward
+from ..operators import cellsearch, changes, clusters, components, context, encode, extract, maintenance, mergetree, nearjoin, numbering, report, search, ward
 from ..session import cut, shared_dir, spread
 from ..sources import manifest as M
 from ..sources.store import VectorStore
@@ -26,6 +26,7 @@ from .query import search as stored_hits
 
 EMBEDDING_DISTANCE = 1.2
 ROUTE_CHUNK = 64
+SEARCH_CELLS = 64
 TEXT_DISTANCE = 0.2
 TREE_CUTS = (1.0, 1.1, EMBEDDING_DISTANCE)
 IDENTICAL_DISTANCE = 1e-6
@@ -324,12 +325,19 @@ def search_batch(spark, sf):
 
 
 def search_all_pairs_of_blocks(spark, sf):
-    """Every vector is a query, through the block join used for query sets of any size."""
+    """Every vector is a query, by the route for query sets of any size."""
     v = D.vectors(spark, sf)
     queries = v.select(F.col("vector_id").alias("query_id"), "embedding")
     return _hit_columns(search.top_k(v, queries, max_broadcast=0))
 
 
+def search_cells(spark, sf):
+    """The five documents nearest to every document, by cells that were placed once."""
+    vectors = cut(_encoded_documents(spark, sf))
+    index = cellsearch.build_cells(vectors, SEARCH_CELLS)
+    return _hit_columns(cellsearch.top_k_cells(index, vectors.select(F.col("vector_id").alias("query_id"), "embedding")))
+
+
 def text_search(spark, sf):
     encoder = encode.hash_encoder()
     vectors = encode.encode_texts(spread(D.text_table(spark, sf)), encoder)
@@ -517,6 +525,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         search_live,
         search_batch,
         search_all_pairs_of_blocks,
+        search_cells,
         text_search,
         stored_search,
         hit_snippets,

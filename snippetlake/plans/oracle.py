@@ -270,6 +270,13 @@ SQL: dict[str, str] = {
     "search_live": _top(_QUERIES, "vector_id IN (SELECT doc_id FROM labels)"),
     "search_batch": _top(_QUERIES),
     "search_all_pairs_of_blocks": _top("asked AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings)"),
+    "search_cells": f"""WITH {_encoded('documents', 'doc_id', 'enc')},
+        dots AS (SELECT a.doc_id AS query_id, b.doc_id AS vector_id, sum(a.value * b.value) AS dot FROM enc a JOIN enc b USING (bucket) GROUP BY ALL),
+        scored AS (SELECT q.doc_id AS query_id, d.doc_id AS vector_id, coalesce(dot, 0) AS score
+          FROM documents q CROSS JOIN documents d LEFT JOIN dots ON dots.query_id = q.doc_id AND dots.vector_id = d.doc_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vector_id) AS rank FROM scored)
+        SELECT query_id, rank, round(score, 6) AS score, vector_id, path, 0 AS line
+        FROM ranked JOIN (SELECT doc_id, {_DOC_PATH} AS path FROM documents) ON doc_id = vector_id WHERE rank <= 5""",
     "text_search": f"""WITH {_encoded('documents', 'doc_id', 'enc')}, {_encoded('benchmark', 'item_id', 'ask')},
         scored AS (SELECT item_id, doc_id, sum(enc.value * ask.value) AS score FROM ask JOIN enc USING (bucket) GROUP BY ALL),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored)

@@ -81,3 +81,52 @@ def test_filter_runs_before_scoring(data):
     plan = restrict(data[0], extensions=["py"]).select("vector_id", "embedding")
     hits = top_k(plan, data[1], 3)._jdf.queryExecution().optimizedPlan().toString()
     assert hits.index("MapInArrow") < hits.rindex("Filter ")
+
+
+def scaled(x, ids=None):
+    return [(int(i), v.tolist(), f"p{i}") for i, v in zip(ids if ids is not None else range(len(x)), x, strict=True)]
+
+
+def best_of(x, q, k):
+    keys = np.round(x @ q.T, 9)
+    return [(j, r, i) for j in range(len(q)) for r, (_, i) in enumerate(sorted(zip(-keys[:, j], range(len(x))))[:k], 1)]
+
+
+@pytest.mark.parametrize(("kind", "share"), [("clustered", 0.3), ("noise", 1.0), ("crowded", 1.0), ("lengths", 1.0)])
+def test_cells_equal_full_ranking(spark, monkeypatch, kind, share):
+    from snippetlake.operators import search
+    from snippetlake.operators.cellsearch import Work, build_cells, top_k_cells
+
+    monkeypatch.setattr(search, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(9)
+    x = unit(rng, 900, 12)
+    if kind in ("clustered", "crowded"):
+        centres = unit(rng, 30, 12)
+        place = rng.choice(30, 900, p=np.r_[0.5, np.full(29, 0.5 / 29)]) if kind == "crowded" else rng.integers(0, 30, 900)
+        x = centres[place] + rng.normal(size=(900, 12)) * 0.03
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("float32")
+    if kind == "lengths":
+        x = (x * rng.uniform(0, 5, (900, 1))).astype("float32")
+        x[:3] = 0
+    x[50:90] = x[7]  # forty copies tie exactly
+    q = x[rng.choice(900, 200, replace=False)].copy()
+    q[0] = 0
+    vectors = spark.createDataFrame(scaled(x), "vector_id long, embedding array<float>, path string").repartition(4)
+    queries = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(q)], "query_id long, embedding array<float>")
+    work = Work()
+    hits = top_k_cells(build_cells(vectors, 60), queries, 5, work)
+    assert found(hits) == best_of(x.astype("float64"), q.astype("float64"), 5)
+    assert work.pairs == 900 * 200 and work.scored <= share * work.pairs + 1200  # the zero query reaches every cell
+    assert all(r.path == f"p{r.vector_id}" for r in hits.collect())
+
+
+def test_cells_of_odd_tables(spark):
+    from snippetlake.operators.cellsearch import build_cells, top_k_cells
+
+    vectors = spark.createDataFrame(scaled(np.eye(3)[[0, 0, 1]]), "vector_id long, embedding array<float>, path string")
+    queries = spark.createDataFrame([(4, [1.0, 0.0, 0.0])], "query_id long, embedding array<float>")
+    assert found(top_k_cells(build_cells(vectors, 50), queries, 9)) == [(4, 1, 0), (4, 2, 1), (4, 3, 2)]
+    assert top_k_cells(build_cells(vectors.limit(0)), queries, 2).count() == 0
+    assert top_k_cells(build_cells(vectors), queries.limit(0), 2).count() == 0
+    with pytest.raises(ValueError, match="at least 1"):
+        top_k_cells(build_cells(vectors), queries, 0)
