@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +16,12 @@ from ..functions import text as X
 from ..functions.vectors import l2_normalize
 from ..operators import cellsearch, changes, clusters, components, context, encode, extract, maintenance, mergetree, nearjoin, numbering, report, search, ward
 from ..session import cut, shared_dir, spread
+from ..sources import files as S
 from ..sources import manifest as M
-from ..sources.store import VectorStore
+from ..sources.store import ModelMismatch, VectorStore
 from ..streaming import ingest_stream
 from . import derived as D
+from .cluster import cluster as store_clusters
 from .clusterstate import ClusterState
 from .ingest import remove_files as drop_files
 from .ingest import upsert
@@ -58,6 +61,21 @@ def manifest_summary(spark, sf):
     return entries.agg(F.count("*").alias("entries"), F.countDistinct("path").alias("files"), F.count("tree_path").alias("with_tree"))
 
 
+def manifest_config(spark, sf):
+    """Every document as a manifest of its own, some with a model name or a batch size."""
+    i = F.col("doc_id")
+    doc = D.table(spark, sf, "documents").select(F.when(i % 3 == 0, F.col("lang")).alias("model_name"), F.when(i % 4 == 0, (i % 64).cast("int")).alias("batch_size"))
+    return M.manifest_config(doc, "token-hash-256").groupBy("model_name", "batch_size").agg(F.count("*").alias("manifests"))
+
+
+def source_decode(spark, sf):
+    return S.decode_sources(D.raw_files(spark, sf)).select("path", "content", "md5", F.unix_micros("mtime").alias("mtime_micros"))
+
+
+def source_rejects(spark, sf):
+    return S.undecodable(D.raw_files(spark, sf))
+
+
 def path_normalize(spark, sf):
     url = F.regexp_extract("url", r"^https?://([^/]*)/(.*)$", 1), F.regexp_extract("url", r"^https?://([^/]*)/(.*)$", 2)
     raw = F.concat(F.lit("/srv//./"), url[0], F.lit("/tmp/.././"), url[1])
@@ -151,6 +169,23 @@ def hash_encode(spark, sf):
     return sparse.select("vector_id", "bucket", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
+def _letter_model():
+    """A model for the adapter: lengths and blanks of a text."""
+
+    def predict(texts):
+        return np.array([[len(t), t.count(" "), 1.0] for t in texts], dtype="float32")
+
+    return predict
+
+
+def model_encode(spark, sf):
+    """Texts through the adapter for models, with the dimension found by a dummy text."""
+    encoder = encode.model_encoder("lengths", 3, _letter_model, batch_size=64)
+    rows = encode.encode_texts(spread(D.text_table(spark, sf).select("vector_id", "text")), encoder)
+    values = [F.round(F.col("embedding")[k].cast("double"), 5).alias(f"v{k}") for k in range(3)]
+    return rows.select("vector_id", F.lit(encode.declared_dim(spark, encoder)).alias("dim"), *values)
+
+
 def assign_vector_ids(spark, sf):
     counted = cut(extract.functions_per_file(_files_with_trees(spark, sf))).withColumn("n", F.size("functions"))
     rows = extract.explode_functions(numbering.with_offsets(counted, "path", "n"))
@@ -351,6 +386,22 @@ def stored_search(spark, sf):
     return _hit_columns(stored_hits(store, D.benchmark_queries(spark, sf), encoder, extensions=["py", "js"]))
 
 
+def search_blank(spark, sf):
+    """Queries that are asked: blank texts are not."""
+    asked = search.text_queries(D.some_blank_queries(spark, sf), encode.hash_encoder())
+    return asked.select("query_id", F.size(F.filter("embedding", lambda x: x != 0)).alias("buckets"))
+
+
+def search_mismatch(spark, sf):
+    """A search with another encoder than the table's is refused."""
+    store = VectorStore(spark, _scratch(spark, "store"))
+    upsert(store, snapshot_files(spark, sf, 1), encode.hash_encoder())
+    try:
+        return stored_hits(store, D.benchmark_queries(spark, sf), encode.hash_encoder(64))
+    except ModelMismatch as refused:
+        return store.vectors().agg(F.count("*").alias("vectors")).select(F.lit(str(refused)).alias("refused"), "vectors")
+
+
 def hit_snippets(spark, sf):
     hits = context.with_snippets(_hits(spark, sf), D.sources(spark, sf))
     return hits.select("query_id", "rank", "path", "start_line", "end_line", "snippet")
@@ -482,12 +533,29 @@ def cluster_report(spark, sf):
     return report.cluster_report(*clusters.filter_clusters(found, members, _report_sources(spark, sf), ignore_identical=False))
 
 
+def cluster_report_near(spark, sf):
+    """Near groups at the default distance, without identical ones, with their distances."""
+    found, members = clusters.find_clusters(_encoded_documents(spark, sf), TEXT_DISTANCE)
+    return report.cluster_report(*clusters.filter_clusters(found, members, _report_sources(spark, sf)))
+
+
+def cluster_build(spark, sf):
+    """A report from a table that is not there yet: it is built first."""
+    store, encoder = VectorStore(spark, _scratch(spark, "store")), encode.hash_encoder()
+    build = lambda: upsert(store, snapshot_files(spark, sf, 1), encoder)
+    sources = D.snapshot(spark, sf, 1).select("path", "content")
+    return store_clusters(store, encoder, sources, IDENTICAL_DISTANCE, build, ignore_identical=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         manifest_scan,
         manifest_rejects,
         manifest_summary,
+        manifest_config,
+        source_decode,
+        source_rejects,
         path_normalize,
         file_fingerprint,
         ext_and_language,
@@ -503,6 +571,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         function_text_50,
         vector_normalize,
         hash_encode,
+        model_encode,
         assign_vector_ids,
         files_arrays,
         upsert_current_view,
@@ -528,6 +597,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         search_cells,
         text_search,
         stored_search,
+        search_blank,
+        search_mismatch,
         hit_snippets,
         search_markdown,
         eps_join,
@@ -545,5 +616,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cluster_filters,
         identical_clusters,
         cluster_report,
+        cluster_report_near,
+        cluster_build,
     )
 }

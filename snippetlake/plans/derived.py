@@ -46,6 +46,16 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, bytes, mtime)`` as a file scan gives them: three kinds of line ends, and some files that
+    are not valid UTF-8."""
+    d = spread(table(spark, sf_dir, "documents"))
+    i = F.col("doc_id")
+    ended = F.when(i % 4 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).when(i % 4 == 1, F.replace("text", F.lit("\n"), F.lit("\r"))).otherwise(F.col("text"))
+    spoilt = F.when(i % 29 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    return d.select(document_path().alias("path"), F.concat(ended.cast("binary"), spoilt).alias("bytes"), F.timestamp_seconds(F.lit(BASE_SECONDS) + i).alias("mtime"))
+
+
 def tree_text(n_lines: Column, doc_id: Column) -> Column:
     """Parse tree of a document with ``n_lines`` lines."""
 
@@ -150,3 +160,10 @@ def text_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def some_blank_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages, of which every third is empty or white space."""
+    i = F.col("item_id")
+    text = F.when(i % 6 == 0, "").when(i % 6 == 3, " \n\t ").otherwise(F.col("text"))
+    return table(spark, sf_dir, "benchmark").select(i.alias("query_id"), text.alias("text"))

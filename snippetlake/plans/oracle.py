@@ -177,6 +177,8 @@ def _merges(points: str, height: float) -> str:
     )
 
 
+_ENTRY = """'    ' || path || ':' || line || chr(10)
+        || array_to_string([CASE WHEN regexp_full_match(x, '\\s*') THEN x ELSE '    ' || x END FOR x IN string_split(text, chr(10))], chr(10)) || chr(10)"""
 _EMBEDDED = "pts AS (SELECT vec_id AS id, 1 AS w, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
@@ -207,6 +209,34 @@ SQL: dict[str, str] = {
     "manifest_summary": """SELECT (SELECT count(*) FROM documents WHERE doc_id % 23 <> 0) + (SELECT count(DISTINCT source) FROM documents) AS entries,
         (SELECT count(*) FROM documents WHERE doc_id % 23 <> 0) + (SELECT count(DISTINCT source) FROM documents) AS files,
         (SELECT count(*) FROM documents WHERE doc_id % 23 <> 0 AND doc_id % 19 <> 0) + (SELECT count(DISTINCT source) FROM documents) AS with_tree""",
+    "manifest_config": """SELECT CASE WHEN doc_id % 3 = 0 THEN coalesce(lang, 'token-hash-256') ELSE 'token-hash-256' END AS model_name,
+        CASE WHEN doc_id % 4 = 0 THEN (doc_id % 64)::INT ELSE 32 END AS batch_size, count(*) AS manifests FROM documents GROUP BY 1, 2""",
+    "source_decode": f"""SELECT {_DOC_PATH} AS path, text AS content, (1704067200 + doc_id) * 1000000 AS mtime_micros,
+        md5(CASE doc_id % 4 WHEN 0 THEN replace(text, chr(10), chr(13) || chr(10)) WHEN 1 THEN replace(text, chr(10), chr(13)) ELSE text END) AS md5
+        FROM documents WHERE doc_id % 29 <> 0""",
+    "source_rejects": f"SELECT {_DOC_PATH} AS path, 'not valid UTF-8' AS reason FROM documents WHERE doc_id % 29 = 0",
+    "model_encode": """WITH raw AS (SELECT doc_id, [length(text), length(text) - length(replace(text, ' ', '')), 1]::DOUBLE[] AS v FROM documents),
+        unit AS (SELECT doc_id, [(x / sqrt(list_dot_product(v, v)))::FLOAT::DOUBLE FOR x IN v] AS u FROM raw)
+        SELECT doc_id AS vector_id, 3 AS dim, round(u[1], 5) AS v0, round(u[2], 5) AS v1, round(u[3], 5) AS v2 FROM unit""",
+    "search_blank": f"""WITH asked AS (SELECT item_id, text FROM benchmark WHERE item_id % 3 <> 0), {_encoded('asked', 'item_id', 'ask')}
+        SELECT item_id AS query_id, count(*)::INT AS buckets FROM ask GROUP BY item_id""",
+    "search_mismatch": f"""WITH {_SNAPSHOTS}, {_functions('v1')}
+        SELECT 'table was built with token-hash-256, not token-hash-64' AS refused, count(*) AS vectors FROM fn""",
+    "cluster_report_near": f"""{_WARD},
+        owners AS (SELECT p.cluster_id, d.doc_id FROM points p JOIN pts ON pts.id = p.id JOIN dense d ON d.v = pts.v),
+        opened AS (SELECT o.cluster_id, doc_id, {_DOC_PATH} AS path, 0 AS line, string_split(text, chr(10)) AS ls FROM owners o JOIN documents USING (doc_id)),
+        texts AS (SELECT *, {_rstrip(_TEXT50.format(n=_readable('ls')))} AS text FROM opened),
+        kept AS (SELECT cluster_id, first_merge_distance AS d, row_number() OVER (ORDER BY cluster_id) - 1 AS cluster_no FROM found WHERE first_merge_distance <> 0)
+        SELECT cluster_no, -1 AS vector_id, 'Cluster #' || cluster_no || ': avg_distance: ' || printf('%.3g', d) || ' ' || repeat('=', 48) || chr(10) AS text FROM kept
+        UNION ALL SELECT cluster_no, doc_id, {_ENTRY} FROM texts JOIN kept USING (cluster_id)""",
+    "cluster_build": f"""WITH {_SNAPSHOTS}, {_functions('v1', 'f1')},
+        ids AS (SELECT row_number() OVER (ORDER BY path, ord) - 1 AS vector_id, path, line, ls, text FROM f1), {_encoded('ids', 'vector_id', 'enc')},
+        whole AS (SELECT vector_id, list((bucket, value) ORDER BY bucket) AS vec FROM enc GROUP BY vector_id),
+        points AS (SELECT vector_id, min(vector_id) OVER (PARTITION BY vec) AS cluster_id, count(*) OVER (PARTITION BY vec) AS size FROM whole),
+        texts AS (SELECT cluster_id, vector_id, path, line, {_rstrip(_TEXT50.format(n=_readable('ls')))} AS text FROM points JOIN ids USING (vector_id) WHERE size > 1),
+        kept AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS cluster_no FROM (SELECT DISTINCT cluster_id FROM texts))
+        SELECT cluster_no, -1 AS vector_id, 'Cluster #' || cluster_no || ': avg_distance: 0.0 ' || repeat('=', 48) || chr(10) AS text FROM kept
+        UNION ALL SELECT cluster_no, vector_id, {_ENTRY} FROM texts JOIN kept USING (cluster_id)""",
     "path_normalize": """SELECT page_id,
         '/srv/' || split_part(url, '/', 3) || rtrim('/' || substr(url, len(split_part(url, '://', 1) || '://' || split_part(url, '/', 3)) + 2), '/') AS path,
         '/root/dir/' || split_part(url, '/', 3) || '/x' AS below_root FROM pages""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from snippetlake.operators.encode import encode_once, encode_texts, hash_encoder, model_encoder
 from snippetlake.operators.maintenance import list_functions, orphans, prune_orphans, vector_ids_of_files, vectors_by_id
 from snippetlake.plans.cluster import cluster
-from snippetlake.plans.ingest import ingest, remove_files, upsert
+from snippetlake.plans.ingest import ingest, ingest_manifest, remove_files, upsert
 from snippetlake.plans.query import search, search_text
 from snippetlake.sources.store import ModelMismatch, StoreNotFound, VectorStore
 from snippetlake.streaming import ingest_stream
@@ -266,3 +266,20 @@ def test_removed_files(spark, store):
     assert view(store) == [("/q/a", 0, 0, 2)] and [r.path for r in store.files().collect()] == ["/q/a"]
     assert remove_files(store, named, "/p/") == 0
     assert upsert(store, files(spark, ("/p/a", "x", 0, ONE)), ENC)["new"] == 1 and len(view(store)) == 2
+
+
+@pytest.mark.parametrize(("own", "used"), [('"model_name": "token-hash-16", "batch_size": 7,', ("token-hash-16", 7)), ("", ("token-hash-8", 32))])
+def test_manifest_chooses_the_model(spark, store, tmp_path, own, used):
+    from snippetlake.sources.manifest import read_manifest_json
+
+    (tmp_path / "m.json").write_text('{%s "files": [{"path": "a", "tree_sitter_file": "a.tree"}, {"path": ""}]}' % own)
+    sources = spark.createDataFrame([("/r/a", "x y", "m", at(0))], "path string, content string, md5 string, mtime timestamp")
+    trees = spark.createDataFrame([("/r/a.tree", ONE)], "path string, tree string")
+    asked = []
+
+    def encoders(name, batch_size):
+        asked.append((name, batch_size))
+        return hash_encoder(int(name.rsplit("-", 1)[1]))
+
+    counts = ingest_manifest(store, read_manifest_json(spark, str(tmp_path / "m.json")), "/r", sources, trees, encoders, "token-hash-8")
+    assert asked == [used] and counts["functions"] == 1 and store.head().model_name == used[0]
