@@ -8,12 +8,13 @@ standard deviations beyond the expected distance at the wanted similarity. Candi
 on the full sets.
 
 Texts of equal sets are one class from the start. Rows that share a key are not paired with each other:
-each meets one hub of the key, and only keys that then hold several components are looked at
-again, with another hub, and in the last round for pairs of different components. Shared keys are found by an
-aggregation that combines before the shuffle, so no group is gathered in a task. Before the last round
-rows are measured by the shingles they share with any other row still open: a row whose own shingles alone
-put it below the wanted similarity meets nobody, and two rows meet only over one of their rarest shared
-shingles, as few as the similarity allows to miss.
+each meets one hub of the key, and only rows of keys that then hold several components stay open. Shared keys are found
+by an aggregation that combines before the shuffle, so no group is gathered in a task. Open rows
+are measured by the shingles they share with any other open row: a row whose own shingles alone put it below
+the wanted similarity meets nobody, and two rows meet only over one of their rarest shared shingles, as few
+as the similarity allows to miss. There they meet hubs of the largest component first, which joins most that
+belong together, and then whatever is still possible. That last round needs no signature, so no link between open
+rows is lost.
 
 Defined cases: texts without words, or null, are linked with nothing; rows without an id are their own;
 repeated rows are copies; ties go to the smaller id; an empty table gives no rows.
@@ -28,7 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snippetlake.llm import words
@@ -49,8 +50,11 @@ class Scheme(NamedTuple):
 
 #: For a similarity of 0.85 (expected distance 7.5 of 50, deviation 2.5) and of 0.8 (10.4 of 52, 2.9).
 SCHEME_85, SCHEME_80 = Scheme(10, 5, 1, 19), Scheme(13, 4, 1, 25)
-#: Hubs a row is confirmed against in one of the two rounds of hubs, nearest signatures first.
+#: Hubs a row is confirmed against in the round of chunk keys, nearest signatures first.
 NEAREST = 2
+#: Rounds, at most, in which open rows meet one hub under each of their rare shingles; they end once fewer than
+#: one pair in ``WORTH`` is a link. What they leave open is compared in full, so neither changes the result.
+HUB_TURNS, WORTH = 3, 20
 SIGNED = "id bigint, n_shingles bigint, set_low bigint, set_high bigint, signature binary"
 
 
@@ -152,12 +156,11 @@ def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _over_rare_shingles(rows: DataFrame, sets: DataFrame, named: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``rows`` (id, component) in different components that can be as similar as wanted.
+def _rare_shingles(rows: DataFrame, sets: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """(shingle, id, component, weight, shared, size, place): the rarest shared shingles of ``rows (id, component)``.
 
     With s shared of its n shingles a row overlaps another in s at most. Pairs that reach the similarity share one of
-    the ``n - ceil(percent * n / 100) + 1`` rarest shingles of either. Of the components under a shingle
-    the one that is largest in the table meets the others only, never itself.
+    the ``n - ceil(percent * n / 100) + 1`` rarest shingles of either.
     """
     each = cut(sets.join(rows.select("id"), "id", "left_semi").select("id", "set").mapInArrow(_numbers, "id bigint, size bigint, shingle bigint"))
     common = cut(each.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1"))
@@ -168,21 +171,49 @@ def _over_rare_shingles(rows: DataFrame, sets: DataFrame, named: DataFrame, perc
     first = first.where(F.col("place") <= F.col("size") - F.ceil(percent * F.col("size") / 100) + 1)
     weights = named.groupBy("component").agg(F.count("*").alias("weight"))
     with_weight = rows.join(weights, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
-    placed = cut(first.join(with_weight, "id").select("shingle", "id", "component", "weight", "shared", "size", "place"))
-    groups = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("weight", "component")).alias("largest"))
-    main = cut(groups.where("low < high").select("shingle", F.col("largest.component").alias("main")))
-    open_rows = cut(placed.join(main, "shingle"))
-    left = open_rows.where("component <> main").select("shingle", F.col("id").alias("a"), F.col("component").alias("c"), F.col("shared").alias("s"), F.col("size").alias("n"), F.col("place").alias("p"))
-    # at the first shingle that two rows share, what either has from there on bounds what they share
-    most = F.least("s", "shared", F.col("n") - F.col("p") + 1, F.col("size") - F.col("place") + 1)
-    possible = most * (100 + percent) >= percent * (F.col("n") + F.col("size"))
-    return left.join(open_rows, "shingle").where((F.col("c") != F.col("component")) & possible).select("a", F.col("id").alias("b"))
-
-
-def components(docs: DataFrame, percent: int = 85, scheme: Scheme = SCHEME_85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return cut(first.join(with_weight, "id").select("shingle", "id", "component", "weight", "shared", "size", "place"))
+
+
+def _possible(a: str, b: str, percent: int) -> Column:
+    """Whether rows ``a`` and ``b`` can reach the similarity: at the first shingle that two rows share, what
+    either has from there on bounds what they share."""
+    x, y = F.col(a), F.col(b)
+    most = F.least(x["shared"], y["shared"], x["size"] - x["place"] + 1, y["size"] - y["place"] + 1)
+    return (x["component"] != y["component"]) & (most * (100 + percent) >= percent * (x["size"] + y["size"]))
+
+
+def _mixed(placed: DataFrame, *values: Column) -> DataFrame:
+    """Shingles that several components share, with ``values`` aggregated over their rows."""
+    groups = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), *values)
+    return groups.where("low < high").drop("low", "high")
+
+
+def _row() -> Column:
+    return F.struct("id", "component", "shared", "size", "place")
+
+
+def _hub_pairs(placed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of every row with one hub of each of its shingles: some row of the largest of its components,
+    another one under another shingle, so that a row tries several."""
+    pick = F.struct("weight", F.xxhash64(F.lit(turn), "shingle", "component").alias("c"), F.xxhash64(F.lit(turn), "shingle", "id").alias("i"))
+    hubs = cut(_mixed(placed, F.max_by(_row(), pick).alias("y")))
+    met = placed.select("shingle", _row().alias("x")).join(hubs, "shingle").where(_possible("x", "y", percent))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def _all_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) under a shingle that are still possible. Of its components the one that is largest in
+    the table meets the others only, never itself."""
+    main = cut(_mixed(placed, F.max(F.struct("weight", "component")).alias("largest")))
+    open_rows = cut(placed.join(main.select("shingle", F.col("largest.component").alias("main")), "shingle").select("shingle", "main", _row().alias("y")))
+    left = open_rows.where(F.col("y.component") != F.col("main")).select("shingle", F.col("y").alias("x"))
+    return left.join(open_rows, "shingle").where(_possible("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def components(docs: DataFrame, percent: int = 85, scheme: Scheme = SCHEME_85, key: str = "doc_id", text: str = "text", trace: list[int] | None = None) -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``docs``: rows are linked where
     ``100 * intersection >= percent * union`` of their shingle sets, and a component is named by its
-    smallest id."""
+    smallest id. ``trace`` gets the number of pairs that each round confirms on full sets."""
     if scheme.chunks * (scheme.errors + 1) <= scheme.limit:
         raise ValueError("too few chunks for the limit")
     small_batches(docs.sparkSession)
@@ -199,38 +230,49 @@ def components(docs: DataFrame, percent: int = 85, scheme: Scheme = SCHEME_85, k
     # merged at every size: which texts are wanted grows with the texts
     sets = cut(read.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_sets, "id bigint, set binary"))
 
-    def confirm(pairs: DataFrame, nearest: int | None) -> tuple[DataFrame, DataFrame]:
-        near = _paired(pairs, heads, "signature").mapInArrow(_distance, "a bigint, b bigint, distance int").where(F.col("distance") <= scheme.limit)
-        if nearest:
-            near = near.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("n") <= nearest)
-        tried = cut(near.select("a", "b").distinct())
+    def confirm(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The distinct pairs, and those that reach the similarity on their full sets."""
+        tried = cut(pairs.distinct())
+        if trace is not None:
+            trace.append(tried.count())
         return tried, cut(_paired(tried, sets, "set").mapInArrow(_confirmed(percent), "a bigint, b bigint").distinct())
 
-    def named(*links: DataFrame) -> DataFrame:
+    def named(links: list[DataFrame]) -> DataFrame:
         every = functools.reduce(DataFrame.unionByName, links)
         return cut(connected_components(every.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "id"))
 
-    def fresh(pairs: DataFrame, *tried: DataFrame) -> DataFrame:
+    def fresh(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
         ordered = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         return ordered.join(functools.reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
 
-    # every row meets the smallest id of its keys
-    tried_1, links_1 = confirm(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), NEAREST)
-    placed = members.select("key", "id").join(named(links_1), "id", "left")
-    placed = cut(placed.select("key", "id", F.coalesce("component", "id").alias("component")))
-    # keys that hold several components: their rows meet another hub
-    some = F.max_by("id", F.xxhash64("key", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), some.alias("hub")).where("low < high")
-    hubs = placed.select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component"))
-    open_keys = cut(mixed.select(F.col("key").alias("open_key"), "hub").join(hubs.withColumnRenamed("key", "open_key"), ["open_key", "hub"]))
-    met = placed.join(open_keys, (F.col("key") == F.col("open_key")) & (F.col("component") != F.col("hub_component")))
-    tried_2, links_2 = confirm(fresh(met.select(F.col("id").alias("a"), F.col("hub").alias("b")), tried_1), NEAREST)
-    # rows of different components that are still possible meet each other
-    halfway = named(links_1, links_2)
-    open_rows = placed.join(open_keys, F.col("key") == F.col("open_key"), "left_semi")
-    rows = open_rows.select("id").distinct().join(halfway, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    _, links_3 = confirm(fresh(_over_rare_shingles(cut(rows), sets, halfway, percent), tried_1, tried_2), None)
-    final = named(links_1, links_2, links_3)
+    def relabelled(rows: DataFrame, names: DataFrame) -> DataFrame:
+        others = [c for c in rows.columns if c != "component"]
+        return cut(rows.select(*others).join(names, "id", "left").select(*others, F.coalesce("component", "id").alias("component")))
+
+    # every row meets the smallest id of its keys, if that is among the nearest
+    near = _paired(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), heads, "signature")
+    near = near.mapInArrow(_distance, "a bigint, b bigint, distance int").where(F.col("distance") <= scheme.limit)
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("n") <= NEAREST)
+    first, linked = confirm(near.select("a", "b"))
+    tried, links = [first], [linked]
+    # rows under keys that hold several components are open
+    halfway = named(links)
+    placed = relabelled(members.select("key", "id"), halfway)
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    rows = cut(placed.join(cut(mixed.select("key")), "key", "left_semi").select("id", "component").distinct())
+    under = _rare_shingles(rows, sets, halfway, percent)
+    # open rows meet hubs as long as that joins many, and then all that are still possible
+    for turn in range(HUB_TURNS):
+        more, linked = confirm(fresh(_hub_pairs(under, turn, percent), tried))
+        tried, links = [*tried, more], [*links, linked]
+        halfway = named(links)
+        weights = cut(halfway.groupBy("component").agg(F.count("*").alias("weight")))
+        under = relabelled(under.drop("weight"), halfway).join(weights, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+        under = cut(under.select("shingle", "id", "component", "weight", "shared", "size", "place"))
+        if more.count() > WORTH * linked.count():
+            break
+    _, linked = confirm(fresh(_all_pairs(under, percent), tried))
+    final = named([*links, linked])
     of_set = cut(classes.join(final, "id", "left").select("set_low", "set_high", F.coalesce("component", "id").alias("component_id")))
     out = signed.select("id", "n_shingles", "set_low", "set_high").join(of_set, ["set_low", "set_high"], "left")
     return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))

@@ -377,3 +377,35 @@ def test_an_id_of_two_texts_loses_only_the_near_duplicate(spark):
     one, other = sentence(rng, 60), sentence(rng, 60)
     docs = spark.createDataFrame([(5, one), (7, one), (7, other), (7, other)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [(5, one), (7, other)]
+
+
+def near_group(n, edits, words=200):
+    rng = random.Random(n)
+    base = [f"w{rng.randrange(3000)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        t = list(base)
+        for _ in range(edits):
+            t[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+        out.append(" ".join(t))
+    return out
+
+
+def test_pairs_of_a_near_group_grow_with_its_rows(spark):
+    """Of a group that is linked, each row is compared with a few others."""
+    tried = {}
+    for n in (150, 600):
+        trace = []
+        docs = spark.createDataFrame(list(enumerate(near_group(n, 1))), "doc_id long, text string").repartition(4)
+        found = neardup.components(docs, trace=trace).select("component_id").distinct().count()
+        tried[n] = sum(trace)
+        assert found == 1
+    assert tried[600] <= 6 * tried[150] and tried[600] < 3600
+
+
+def test_borderline_group_against_brute_force(spark):
+    """Similarities on both sides of the threshold, and links through others only."""
+    made = near_group(60, 2) + near_group(40, 3)
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(4)
+    name = linked({i: WORD.findall(t) for i, t in enumerate(made)}, 85)[1]
+    assert {r.id: r.component_id for r in neardup.components(docs).collect()} == name
