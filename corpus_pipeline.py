@@ -36,7 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     grouped = linked.where("id is not null").select(F.col("id").alias("own_key"), "component_id").distinct()
     several = cut(grouped.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id"))
     members = cut(grouped.join(several, "component_id").join(keyed.select("own_key", "doc_id").distinct(), "own_key"))
-    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "own_key")).alias("first"))
+    # written first: the join below then has plain exchanges on both sides, and a large component can be split
+    first = cut(members.groupBy("component_id").agg(F.min(F.struct("doc_id", "own_key")).alias("first")))
     gone = cut(members.join(first, "component_id").where(F.col("own_key") != F.col("first.own_key")).select(F.col("own_key").alias("gone_key")))
     again = cut(keyed.where("own_key is not null").groupBy(F.col("own_key").alias("again_key")).agg(F.count("*").alias("n")).where("n > 1").select("again_key"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key)
