@@ -54,7 +54,7 @@ SCHEME_85, SCHEME_80 = Scheme(10, 5, 1, 19), Scheme(13, 4, 1, 25)
 NEAREST = 2
 #: Rounds, at most, in which open rows meet one hub under each of their rare shingles; they end once fewer than
 #: one pair in ``WORTH`` is a link. What they leave open is compared in full, so neither changes the result.
-HUB_TURNS, WORTH = 3, 20
+HUB_TURNS, WORTH = 1, 20
 SIGNED = "id bigint, n_shingles bigint, set_low bigint, set_high bigint, signature binary"
 
 
