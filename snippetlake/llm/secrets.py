@@ -13,12 +13,13 @@ columns of the history are returned untouched only if named in ``keys``.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snippetlake.functions.binding import let
 from snippetlake.session import cut, shared_dir
 
 
@@ -51,6 +52,21 @@ RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 SPAN = "struct<start:int,rank:int,end:int,tag:string>"
+#: Findings of a text that one fold goes over. A fold copies what it has gathered at every step, so the
+#: findings of a text go through it in portions, each told how far those before it reach.
+PORTION = 256
+
+
+def _portions(items: Column) -> Column:
+    """``items``, which are some, in portions of ``PORTION``."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(PORTION)), lambda i: F.slice(items, i, F.lit(PORTION)))
+
+
+def _before(totals: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each portion what ``add`` makes of the totals of those before it, from 0."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, x: F.struct(add(acc.at, x).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out"))
+    return F.aggregate(totals, start, step, lambda acc: acc.out)
 
 
 def spans(text: Column, rule: Rule, rank: int) -> Column:
@@ -63,19 +79,22 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
         F.transform(found, F.length).alias("size"),
         F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length).alias("group"),
     )
+    none = F.array().cast(f"array<{SPAN}>")
     # arrays_zip pads: the last gap has no match
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    past = lambda x: x.gap + F.coalesce(x["size"], F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc.at + x.gap
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + x.size).alias("end"), F.lit(rule.tag).alias("tag"))
-        return F.struct(
-            (begin + F.coalesce(x.size, F.lit(0))).alias("at"),
-            F.when(x["group"] >= rule.least, F.concat(acc.out, F.array(span))).otherwise(acc.out).alias("out"),
-        )
+        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + x["size"]).alias("end"), F.lit(rule.tag).alias("tag"))
+        return F.struct((acc.at + past(x)).alias("at"), F.when(x["group"] >= rule.least, F.concat(acc.out, F.array(span))).otherwise(acc.out).alias("out"))
 
-    none = F.array().cast(f"array<{SPAN}>")
-    return F.when(F.size(found) > 0, F.aggregate(sizes, start, step, lambda acc: acc.out)).otherwise(none)
+    def placed(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda at, x: at + past(x)))
+        begins = _before(totals, lambda at, x: at + x)
+        folded = F.zip_with(parts, begins, lambda p, at: F.aggregate(p, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc.out))
+        return F.flatten(folded)
+
+    return F.when(F.size(found) > 0, let(sizes, lambda x: let(_portions(x), placed))).otherwise(none)
 
 
 class Ledger:
@@ -130,7 +149,10 @@ def findings(history: DataFrame, ledger: Ledger, keys: Sequence[str], rules: Seq
     log = ledger.read()
     hits = log.select("blob", F.filter("found", lambda s: F.array_contains(wanted, s.tag)).alias("found")).where(F.size("found") > 0)
     # written first: the join below then has plain exchanges on both sides, and a hot blob can be split
-    by_blob = cut(hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found")))
+    ordered = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    # repeated spans are neighbours by now
+    once = let(F.col("found"), lambda a: F.filter(a, lambda s, i: (i == 0) | ~s.eqNullSafe(F.get(a, i - 1))))
+    by_blob = cut(ordered.select("blob", once.alias("found")))
     joined = names.join(by_blob, "blob", "left")
     return joined.select(*keys, "blob", F.coalesce("found", F.array().cast(f"array<{SPAN}>")).alias("found"))
 
@@ -148,15 +170,24 @@ def joined_spans(found: Column) -> Column:
 
 def masked(text: Column, found: Column, mark: str = "<secret>") -> Column:
     """``text`` with every found span replaced; overlapping spans share one mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc.at + 1, s.start - acc.at)
-        inside = s.start < acc.at
-        return F.struct(
-            F.greatest(acc.at, s.end).alias("at"),
-            F.when(inside, acc.out).otherwise(F.concat(acc.out, gap, F.lit(mark))).alias("out"),
-        )
-
-    rest = lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text)))
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, rest)).otherwise(text)
+
+    def portion(own: Column, p: Column, base: Column) -> Column:
+        """The stretch ``own`` of the text, which starts at ``base``, with the spans of one portion replaced."""
+
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.substring(own, acc.at + 1, s.start - base - acc.at)
+            return F.struct(
+                F.greatest(acc.at, s.end - base).alias("at"),
+                F.when(s.start - base < acc.at, acc.out).otherwise(F.concat(acc.out, gap, F.lit(mark))).alias("out"),
+            )
+
+        return F.aggregate(p, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: acc.out)
+
+    def whole(t: Column, parts: Column) -> Column:
+        reach = lambda p: F.array_max(F.transform(p, lambda s: s.end))
+        bases = _before(F.transform(parts, reach), F.greatest)
+        pieces = F.zip_with(parts, bases, lambda p, at: let(F.substring(t, at + 1, F.greatest(reach(p) - at, F.lit(0))), lambda own: portion(own, p, at)))
+        rest = let(F.array_max(F.transform(parts, reach)), lambda at: F.substring(t, at + 1, F.length(t)))
+        return F.concat(F.array_join(pieces, ""), rest)
+
+    return F.when(F.size(found) > 0, let(text, lambda t: let(_portions(found), lambda parts: whole(t, parts)))).otherwise(text)

@@ -272,6 +272,24 @@ def test_secrets(spark, sf):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == j for _, k, _ in found) for j in range(3)]
 
 
+def test_many_secrets_in_one_text(spark):
+    """More findings than one fold takes, kinds that overlap, and two texts at the edge of a portion."""
+    rng = random.Random(8)
+    parts = ['é token = "%s" ', "secret:abc ", "AKIA%s0123456789ABCDEF ", "password=%s0123456789abcdef01234567 ", "x%sy"]
+    made = ["".join(rng.choice(parts).replace("%s", f"{rng.randrange(1 << 40):010x}") for _ in range(n)) for n in (3_000, 40)]
+    made += ["token=abcdef " * secrets.PORTION, "token=abcdef " * (secrets.PORTION + 1), "token=abcdef " * 100_000]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = secrets.scan(docs, secrets.new_ledger(spark), ["doc_id", "text"], secrets.BASE)
+    for r in got.select("doc_id", "found", secrets.masked(F.col("text"), F.col("found")).alias("masked")).collect():
+        want = secret_spans(made[r.doc_id])
+        assert [(s.start, s.rank, s.end) for s in r.found] == want
+        out, at = [], 0
+        for a, _, b in want:
+            out += [] if a < at else [made[r.doc_id][at:a], "<secret>"]
+            at = max(at, b)
+        assert r.masked == "".join(out) + made[r.doc_id][at:]
+
+
 def test_ledger_scans_only_what_it_has_not_seen(spark):
     ledger = secrets.new_ledger(spark)
     first = spark.createDataFrame([("a", "token=abcdef"), ("b", "token=abcdef"), ("c", None)], "path string, text string")
