@@ -13,9 +13,10 @@ those of the query. Each task holds the score lists of its rows, slice by slice.
 
 Equal vectors are one row until the end, with their ``k + 1`` smallest ids, for no more of them
 can be results. Queries go in blocks of ``QUERY_BLOCK``, so what is broadcast is bounded. Scores are
-integers; sums are exact below 2**53.
+integers, held as doubles where those are exact and as 64-bit integers elsewhere.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part; shorter
+Defined cases: vectors that are null or hold null or non-finite components take no part, nor do vectors whose
+scaled squared length exceeds ``LARGEST``, for their scores may not fit 64 bits; shorter
 vectors count as padded with zeros; repeated rows of one id and vector count once; a query's own id is
 never its result; an empty table gives no rows.
 """
@@ -33,6 +34,9 @@ from snippetlake.session import cut
 
 SLICES = 4
 QUERY_BLOCK = 2048
+#: Scaled squared length of vectors that take part. By Cauchy and Schwarz no product exceeds it, and the
+#: differences and sums of bounds below stay within 64 bits.
+LARGEST = 2.0**58
 #: Queries scored at once inside a task.
 TILE = 256
 
@@ -103,24 +107,26 @@ def _reaching(queries: np.ndarray, least: np.ndarray, cutoff: np.ndarray, k: int
     """Rows that reach the cutoff in a slice, with the bounds of their totals above the least scores."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = max(np.abs(least).max(initial=0), cutoff.max(initial=0)) >= 2**50
         for a, numbers, scores in _tiles(batches, queries):
-            edge = cutoff[a : a + TILE, None]
-            lower, missed = np.zeros(scores[0].shape), np.zeros(scores[0].shape, np.int32)
+            kind = np.int64 if wide or any(x.dtype == np.int64 for x in scores) else np.float64
+            edge, floors = cutoff[a : a + TILE, None].astype(kind), least[a : a + TILE].astype(kind)
+            lower, missed = np.zeros(scores[0].shape, kind), np.zeros(scores[0].shape, np.int32)
             for s, score in enumerate(scores):
-                above = score - least[a : a + TILE, s, None]
+                above = score.astype(kind, copy=False) - floors[:, s, None]
                 reach = above >= edge
                 lower += np.where(reach, above, 0)
                 missed += ~reach
             upper = lower + missed * edge
             n = min(k + 1, lower.shape[1])
-            kth = np.partition(lower, lower.shape[1] - n, axis=1)[:, lower.shape[1] - n] if n == k + 1 else np.zeros(len(lower))
+            kth = np.partition(lower, lower.shape[1] - n, axis=1)[:, lower.shape[1] - n] if n == k + 1 else np.zeros(len(lower), kind)
             q, i = np.nonzero((missed < SLICES) & (upper >= kth[:, None]))
             yield pa.record_batch(
                 {
                     "query": pa.array((a + q).astype(np.int32)),
                     "row": pa.array(numbers[i]),
-                    "lower": pa.array(np.floor(lower[q, i]).astype(np.int64)),
-                    "upper": pa.array(np.ceil(upper[q, i]).astype(np.int64)),
+                    "lower": pa.array(lower[q, i].astype(np.int64)),
+                    "upper": pa.array(upper[q, i].astype(np.int64)),
                 }
             )
 
@@ -138,14 +144,11 @@ def _exact(queries: np.ndarray):
     return work
 
 
-def _kth(rows: DataFrame, value: str, k: int, queries: int) -> np.ndarray:
-    """The (k+1)-th highest ``value`` of each query, -inf where there are fewer: at least k rows other than
+def _kth(rows: DataFrame, value: str, k: int) -> dict[int, int]:
+    """The (k+1)-th highest ``value`` of each query that has so many: at least k rows other than
     that of the query itself reach it. One number per query of the block comes to the driver."""
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.col(value).desc())))
-    out = np.full(queries, -np.inf)
-    for r in ranked.where(F.col("n") == k + 1).select("query", value).collect():
-        out[r[0]] = r[1]
-    return out
+    return {r[0]: r[1] for r in ranked.where(F.col("n") == k + 1).select("query", value).collect()}
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -153,7 +156,9 @@ def search(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector
     holds for, by the inner product of ``floor(scale * component)``; ties go to the smaller id."""
     spark = vectors.sparkSession
     sound = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    read = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("asked")).where(sound)
+    square = F.aggregate("v", F.lit(0.0), lambda total, x: total + (x * scale) * (x * scale))
+    read = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("asked"))
+    read = read.where(sound).where(square <= LARGEST)
     dims = read.agg(F.max(F.size("v"))).first()[0] or 0
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
     if not dims:
@@ -175,15 +180,17 @@ def search(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector
         for i, r in enumerate(part):
             queries[i, : len(r.v)] = np.floor(scale * np.array(r.v))
         local = cut(lists.mapInArrow(_local_lists(queries, k), "query int, slice int, row bigint, score bigint, least bigint"))
-        least = np.zeros((len(part), SLICES))
+        least = np.zeros((len(part), SLICES), np.int64)
         for r in local.groupBy("query", "slice").agg(F.min("least").alias("least")).collect():
             least[r[0], r[1]] = r.least
         floors = spark.createDataFrame([(q, s, int(least[q, s])) for q in range(len(part)) for s in range(SLICES)], "query int, slice int, floor bigint")
         known = local.join(F.broadcast(floors), ["query", "slice"]).groupBy("query", "row").agg(F.sum(F.col("score") - F.col("floor")).alias("known"))
-        cutoff = np.maximum(_kth(known, "known", k, len(part)), 0) / SLICES
+        kth = _kth(known, "known", k)
+        # rounded down: rows that reach it in no slice have less than the bound in all
+        cutoff = np.array([max(kth.get(q, 0), 0) // SLICES for q in range(len(part))], np.int64)
         reached = cut(lists.mapInArrow(_reaching(queries, least, cutoff, k), "query int, row bigint, lower bigint, upper bigint"))
-        bound = _kth(reached, "lower", k, len(part))
-        bounds = spark.createDataFrame([(q, int(x) if x > -np.inf else None) for q, x in enumerate(bound)], "query int, bound bigint")
+        bound = _kth(reached, "lower", k)
+        bounds = spark.createDataFrame([(q, bound.get(q)) for q in range(len(part))], "query int, bound bigint")
         left = reached.join(F.broadcast(bounds), "query").where("bound is null or upper >= bound").select("query", "row")
         scored = left.join(rows, "row").select("query", "vector", "ids").mapInArrow(_exact(queries), "query int, ids array<bigint>, score bigint")
         names = spark.createDataFrame(list(enumerate(ids)), "query int, query_id bigint")
