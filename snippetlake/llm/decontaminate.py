@@ -9,11 +9,15 @@ are looked at last, passages are bounded by the rare terms they hold and, block
 by each term's greatest weight in the block; only (passage, block) pairs whose bound reaches the threshold
 are scored. All passages of an Arrow batch go through each step together. What is retrieved
 is verified: enough five-word sequences of the question, and enough words of the answer, must be
-there, the answer being the last sentence of an item of several.
+there, the answer being the last sentence of an item of several. A long item is also found by a part: by any
+retrieved segment of it of which enough sequences, and enough words of the answer in it, are there.
+
+Segments, words and the segments of each term are counted over all items, so scores do not depend on how the
+items are dealt to indexes.
 
 Defined cases: null and empty texts or items match nothing; repeated items and rows are matched each;
-items in more text than ``SHARD_BYTES`` are searched in shards of that size, each with statistics of its
-own; an empty benchmark finds nothing.
+items in more text than ``SHARD_BYTES`` are searched in shards of that size, which changes no result;
+an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from snippetlake.llm import words
 from snippetlake.llm.tokenout import slices
 from snippetlake.llm.toxicity import EDGES
+from snippetlake.session import cut
 
 SEGMENT = 64
 #: Segments a block of the index holds.
@@ -44,6 +49,14 @@ QUESTION, ANSWER, GRAM = 0.6, 0.6, 5
 SHARD_BYTES = 8 << 20
 
 
+class Statistics(NamedTuple):
+    """Of the segments of all items; ``df`` of the terms of one shard at least."""
+
+    segments: int
+    mean: float
+    df: dict[int, int]
+
+
 class Index(NamedTuple):
     vocabulary: dict[int, int]
     weights: np.ndarray  # of postings, by term
@@ -56,6 +69,8 @@ class Index(NamedTuple):
     item_ids: list[int]
     question: list[np.ndarray]
     answer: list[np.ndarray]
+    part: list[np.ndarray]  # sequences of segments, where an item has several
+    part_answer: list[np.ndarray]
 
 
 def _normal(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,20 +87,26 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, "")
 
 
-def build(items: list[tuple[int, str]]) -> Index | None:
-    """The index of a bounded list of items."""
-    items = [(i, t) for i, t in items if t and t.strip()]
-    names, bounds = _normal(pa.array([t for _, t in items], pa.string()))
+def _segments(texts: list[str | None]) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+    """The segments of the texts as numbers of words, and for each its text and its first word there."""
+    names, bounds = _normal(pa.array([t if t and t.strip() else None for t in texts], pa.string()))
     segments, owner = [], []
-    for i in range(len(items)):
-        a, b = bounds[i], bounds[i + 1]
-        n = max(1, -(-(b - a) // SEGMENT)) if b > a else 0
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        n, at = -(-(b - a) // SEGMENT), 0
         for part in np.array_split(names[a:b], n) if n else []:
             segments.append(part)
-            owner.append(i)
+            owner.append((i, at))
+            at += len(part)
+    return segments, owner
+
+
+def build(items: list[tuple[int, str]], statistics: Statistics | None = None) -> Index | None:
+    """The index of a bounded list of items; without ``statistics`` they are all items."""
+    items = [(i, t) for i, t in items if t and t.strip()]
+    segments, owner = _segments([t for _, t in items])
     if not segments:
         return None
-    mean = np.mean([len(s) for s in segments])
+    mean = statistics.mean if statistics else sum(len(s) for s in segments) / len(segments)
     vocabulary = {int(t): k for k, t in enumerate(np.unique(np.concatenate(segments)))}
     pairs = []
     for s, part in enumerate(segments):
@@ -93,7 +114,9 @@ def build(items: list[tuple[int, str]]) -> Index | None:
         pairs.append((np.array([vocabulary[int(t)] for t in terms]), np.full(len(terms), s), tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(part) / mean))))
     term, segment, gain = (np.concatenate(x) for x in zip(*pairs, strict=True))
     df = np.bincount(term, minlength=len(vocabulary))
-    weight = gain * np.log(1 + (len(segments) - df + 0.5) / (df + 0.5))[term]
+    n = statistics.segments if statistics else len(segments)
+    everywhere = np.array([statistics.df[t] for t in vocabulary]) if statistics else df
+    weight = gain * np.log(1 + (n - everywhere + 0.5) / (everywhere + 0.5))[term]
     weight = weight / np.bincount(segment, weight, len(segments))[segment]
     order = np.argsort(term, kind="stable")
     term, segment, weight = term[order], segment[order], weight[order]
@@ -115,7 +138,12 @@ def build(items: list[tuple[int, str]]) -> Index | None:
     (q, qb), (a, ab) = _normal(pa.array([x for x, _ in halves])), _normal(pa.array([y for _, y in halves]))
     grams = [np.unique(words.sequences(q[x:y], min(GRAM, int(y - x)))) if y > x else np.zeros(0, np.uint64) for x, y in zip(qb, qb[1:], strict=False)]
     answers = [np.unique(a[x:y]) for x, y in zip(ab, ab[1:], strict=False)]
-    return Index(vocabulary, weight.astype(np.float32), segment, starts, frequent, tail, block_max, np.array(owner), [i for i, _ in items], grams, answers)
+    item = np.array([i for i, _ in owner])
+    several = np.bincount(item)[item] > 1
+    parts = [np.unique(words.sequences(x, min(GRAM, len(x)))) if m else None for x, m in zip(segments, several, strict=True)]
+    part_answers = [np.unique(x[max(0, int(qb[i + 1] - qb[i]) - at) :]) if m else None for x, (i, at), m in zip(segments, owner, several, strict=True)]
+    weight = weight.astype(np.float32)
+    return Index(vocabulary, weight, segment, starts, frequent, tail, block_max, item, [i for i, _ in items], grams, answers, parts, part_answers)
 
 
 def _pairs(chunk: np.ndarray, term: np.ndarray, last: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,22 +196,26 @@ def _search(names: np.ndarray, bounds: np.ndarray, index: Index) -> list[tuple[i
     pair, where = np.unique(of[ok] * n_segments + segment[ok], return_inverse=True)
     score = np.bincount(where, index.weights[posting[ok]])
     found = np.flatnonzero(score >= THRESHOLD - 1e-6)
-    best: dict[tuple[int, int], float] = {}
+    best: dict[tuple[int, int], list[tuple[float, int]]] = {}
     for f in found:
         text = int(np.searchsorted(first, distinct[pair[f] // n_segments], side="right")) - 1
-        item = int(index.item[pair[f] % n_segments])
-        best[text, item] = max(best.get((text, item), 0.0), float(score[f]))
+        number = int(pair[f] % n_segments)
+        best.setdefault((text, int(index.item[number])), []).append((float(score[f]), number))
     out, seen = [], {}
-    for (text, item), value in sorted(best.items()):
+    for (text, item), parts in sorted(best.items()):
         if text not in seen:
             own = names[bounds[text] : bounds[text + 1]]
             seen = {text: (own, np.unique(words.sequences(own, GRAM)))}
         own, grams = seen[text]
-        question, answer = index.question[item], index.answer[item]
-        in_question = _share(question, grams, own)
-        in_answer = float(np.isin(answer, own).mean()) if len(answer) else 1.0
-        if in_question >= QUESTION and in_answer >= ANSWER:
-            out.append((text, item, value, in_question, in_answer))
+        parts = sorted(parts, reverse=True)
+        tries = [(index.question[item], index.answer[item])]
+        tries += [(index.part[n], index.part_answer[n]) for n in dict.fromkeys(n for _, n in parts) if index.part[n] is not None]
+        for question, answer in tries:
+            in_question = _share(question, grams, own)
+            in_answer = float(np.isin(answer, own).mean()) if len(answer) else 1.0
+            if in_question >= QUESTION and in_answer >= ANSWER:
+                out.append((text, item, parts[0][0], in_question, in_answer))
+                break
     return out
 
 
@@ -218,26 +250,51 @@ def _without(index: Index, text: str):
     return work
 
 
-def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> list[Index]:
-    """One index, or one per shard of about ``shard_bytes`` of item text."""
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, term, words): each distinct term of each segment; the words of a segment with its first term."""
+    for batch in slices(batches, "text"):
+        shards, (segments, owner) = batch.column(0).to_pylist(), _segments(batch.column(1).to_pylist())
+        terms = [np.unique(x) for x in segments]
+        sizes = np.array([len(x) for x in terms], np.int64)
+        count = np.zeros(sizes.sum(), np.int64)
+        count[np.cumsum(sizes) - sizes] = [len(x) for x in segments]
+        flat = np.concatenate([np.zeros(0, np.uint64), *terms]).view(np.int64)
+        shard = np.repeat(np.array([shards[i] for i, _ in owner], np.int32), sizes)
+        yield pa.record_batch({"shard": pa.array(shard), "term": pa.array(flat), "words": pa.array(count)})
+
+
+def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> Iterator[Index]:
+    """One index, or one per shard of about ``shard_bytes`` of item text. One shard at a time comes to the
+    driver, with the counts that its own terms have over all items."""
     read = benchmark.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     total = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-total // shard_bytes)
-    made = []
+    dealt = read.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int")) if shards else read
+    if shards > 1:
+        terms = cut(dealt.select("shard", "text").mapInArrow(_terms, "shard int, term bigint, words bigint"))
+        count = terms.agg(F.count_if(F.col("words") > 0).alias("segments"), F.sum("words").alias("words")).first()
+        df = terms.groupBy("term").agg(F.count("*").alias("df"))
+        counted = cut(terms.select("shard", "term").distinct().join(df, "term"))
     for s in range(shards):
-        rows = read.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == s).orderBy("id", "text").collect()
-        made.append(build([(r.id, r.text) for r in rows]))
-    return [x for x in made if x is not None]
+        rows = dealt.where(F.col("shard") == s).orderBy("id", "text").select("id", "text").collect()
+        statistics = None
+        if shards > 1 and count.segments:
+            own = counted.where(F.col("shard") == s).select("term", "df").toPandas()
+            statistics = Statistics(count.segments, count.words / count.segments, dict(zip(own["term"].to_numpy().view(np.uint64).tolist(), own["df"].tolist(), strict=True)))
+        index = build([(r.id, r.text) for r in rows], statistics)
+        if index is not None:
+            yield index
 
 
 MATCH = "id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, item_id, score, question_overlap, answer_overlap) for every text that holds a test item."""
+def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(id, item_id, score, question_overlap, answer_overlap) for every text that holds a test item; the
+    overlaps are those of the whole item or, if it is there in part only, of the best segment that is there."""
     read = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], MATCH)
-    for k, index in enumerate(indexes(benchmark)):
+    for k, index in enumerate(indexes(benchmark, shard_bytes=shard_bytes)):
         found = read.mapInArrow(_matches(index), MATCH)
         out = found if k == 0 else out.unionByName(found)
     return out

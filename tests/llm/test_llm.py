@@ -257,6 +257,21 @@ def test_top_k(spark, sf):
     assert topk.search(few, F.col("vec_id") == 0).count() == 2
 
 
+def test_top_k_of_large_components(spark):
+    """Scores beyond doubles are exact; vectors whose scores may not fit 64 bits take no part."""
+    rng = np.random.default_rng(9)
+    vectors = [(rng.normal(0, 1, 6) * 10.0 ** rng.integers(0, 6, 6)).tolist() for _ in range(300)]
+    vectors += [[1e30, 1.0], [-1e30], [1e200] * 6, [float(2**19)] * 6, [-float(2**19)] * 6, [float(2**19)] * 5 + [2.0**19 + 1 / 256]]
+    table = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(3)
+    sound = {i: [math.floor(256 * x) for x in v] for i, v in enumerate(vectors) if i < 300 or i > 302}
+    want = []
+    for q in [q for q in sound if q % 50 == 0 or q > 302]:
+        best = sorted((-sum(map(int.__mul__, sound[q], v)), i) for i, v in sound.items() if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    got = topk.search(table, (F.col("vec_id") % 50 == 0) | (F.col("vec_id") > 299))
+    assert sorted(map(tuple, got.collect())) == want and max(w[3] for w in want) > 2**56
+
+
 def secret_spans(t):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
@@ -336,6 +351,28 @@ def test_bounds_lose_no_passage():
     assert not any(t >= 60 for t, _ in found)
 
 
+def test_shards_of_items_change_nothing_and_parts_are_found(spark):
+    rng = random.Random(6)
+    items = [(i, sentence(rng, rng.randrange(8, 60)) + ". " + sentence(rng, 6) + ".") for i in range(40)]
+    long_item = sentence(rng, 280).split() + "? the last of it .".split()
+    items += [(40, " ".join(long_item)), (40, " ".join(long_item)), (41, None), (None, "  ")]
+    made = [" ".join(long_item[a:b]) + " " + sentence(rng, 300) for a, b in ((0, 285), (60, 230), (100, 228))]
+    made += [sentence(rng, 90) + " " + items[i][1] for i in range(20)]
+    made += [" ".join(w if rng.random() < 0.9 else "odd" for w in items[i][1].split()) for i in range(40)] + [sentence(rng, 400) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t or "") for _, t in items)
+    found = []
+    for shards in (1, 2, 4):
+        bytes_each = -(-size // shards)
+        assert len(list(decontaminate.indexes(benchmark, shard_bytes=bytes_each))) in (1, shards)
+        found.append(sorted(map(tuple, decontaminate.matches(docs, benchmark, shard_bytes=bytes_each).collect())))
+    assert found[0] == found[1] == found[2]
+    pairs = {x[:2] for x in found[0]}
+    assert pairs >= {(0, 40), (1, 40), (2, 40)} | {(3 + i, i) for i in range(20)}
+    assert not any(d >= len(made) - 30 for d, _ in pairs)
+
+
 def test_language(spark, sf):
     got = {r["doc_id"]: r for r in rows(queries.op1_language_id(spark, sf))}
     assert len(got) == len(texts()) and not any(got[i]["kept"] for i in range(3))
