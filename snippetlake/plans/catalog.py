@@ -192,6 +192,14 @@ def assign_vector_ids(spark, sf):
     return rows.select("path", "ord", (F.col("offset") + F.col("ord")).alias("vector_id"))
 
 
+def assign_vector_ids_levels(spark, sf):
+    """The same through three levels of four ranges each, as tables beyond one level of ranges take."""
+    counted = cut(extract.functions_per_file(_files_with_trees(spark, sf))).withColumn("n", F.size("functions"))
+    narrow = cut(numbering.with_offsets(counted.select("path", "n"), "path", "n", fan_out=4, leaf_rows=16))
+    rows = extract.explode_functions(counted.join(narrow.select("path", "offset"), "path"))
+    return rows.select("path", "ord", (F.col("offset") + F.col("ord")).alias("vector_id"))
+
+
 def files_arrays(spark, sf):
     trees = D.trees(spark, sf).select(F.regexp_replace("path", r"\.tree$", "").alias("path"), "tree")
     files = D.sources(spark, sf).join(trees, "path").select("path", "md5", "mtime", "content", "tree")
@@ -573,6 +581,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         hash_encode,
         model_encode,
         assign_vector_ids,
+        assign_vector_ids_levels,
         files_arrays,
         upsert_current_view,
         delete_missing,

@@ -261,6 +261,7 @@ SQL: dict[str, str] = {
         SELECT vec_id, [(y * 3)::FLOAT::DOUBLE FOR y IN embedding] AS v FROM embeddings) t, unnest(v) WITH ORDINALITY AS u(x, p), LATERAL (SELECT p - 1 AS pos)""",
     "hash_encode": f"WITH {_encoded('documents', 'doc_id', 'enc')} SELECT doc_id AS vector_id, bucket, round(value, 6) AS value FROM enc",
     "assign_vector_ids": f"{_EXTRACT} SELECT path, ord, row_number() OVER (ORDER BY path, ord) - 1 AS vector_id FROM fn",
+    "assign_vector_ids_levels": f"{_EXTRACT} SELECT path, ord, row_number() OVER (ORDER BY path, ord) - 1 AS vector_id FROM fn",
     "files_arrays": f"""WITH {_SRC}, {_functions('src')}, numbered AS (SELECT *, row_number() OVER (ORDER BY path, ord) - 1 AS vector_id FROM fn)
         SELECT src.path, substr(sha256(src.path), 1, 16) AS file_key, md5(any_value(content)) AS md5,
         coalesce(string_agg(vector_id::VARCHAR, ',' ORDER BY ord), '') AS vector_ids,

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snippetlake.operators import clusters as C
+from snippetlake.operators import numbering
 from snippetlake.operators.components import connected_components
 from snippetlake.operators.nearjoin import Cells, choose_cells, near_join
 from snippetlake.operators.numbering import with_offsets
@@ -214,3 +215,25 @@ def test_offsets_equal_running_sum(spark):
         total += n
     few = with_offsets(df.limit(3), "path").orderBy("path").collect()
     assert [r.offset for r in few] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_offsets_over_a_tree_of_ranges(spark, monkeypatch, broadcast):
+    """Three levels of four ranges, also where split points and totals are joined by range; no leaf is large."""
+    if not broadcast:
+        monkeypatch.setattr(numbering, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(numbering, "BROADCAST_ROWS", 0)
+    rng = np.random.default_rng(1)
+    # most names share a prefix, a few lie far off
+    names = [f"long/prefix/{v:06d}" for v in rng.permutation(3000)] + ["a", "b", "z", "zz"]
+    counts = rng.integers(0, 5, len(names)).tolist()
+    df = spark.createDataFrame(list(zip(names, counts)), "path string, n int").repartition(6)
+    seen = []
+    carried = numbering._carried
+    monkeypatch.setattr(numbering, "_carried", lambda totals, levels, fan_out: seen.append((levels, totals.count())) or carried(totals, levels, fan_out))
+    got = {r.path: r.offset for r in with_offsets(df, "path", "n", 7, fan_out=4, leaf_rows=40).collect()}
+    total = 7
+    for name, n in sorted(zip(names, counts)):
+        assert got[name] == total
+        total += n
+    assert seen[0][0] == 3 and 48 <= seen[0][1] <= 64
