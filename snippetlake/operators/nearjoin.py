@@ -44,6 +44,8 @@ MAX_CHUNK_ROWS = 8192
 CHUNK_BYTES = 32 << 20
 PIVOT_BYTES = 32 << 20
 TEST_ROWS = 512
+#: Chunks of a cell beyond which cells are split in further rounds.
+CROWDED_CHUNKS = 64
 _ROW_COST = 200.0  # shipping one row costs about as much as comparing this many pairs
 _AT_ONCE = 1 << 22
 _SLACK = 1e-9
@@ -116,14 +118,21 @@ class Cells:
         if len(self.pivots) == 1:
             none = np.zeros(0, "int64")
             return np.zeros(len(x), "int64"), none, none
-        d = squared_distances(x, self.pivots)
-        home = d.argmin(1)
-        apart = np.sqrt(squared_distances(self.pivots[home], self.pivots))
-        near = d - d[np.arange(len(x)), home][:, None] <= 2.0 * (self.threshold + _SLACK) * apart + _SLACK + 4.0 * noise(x, self.pivots)
+        home, near = self._near(x)
         near &= np.arange(len(self.pivots))[None, :] < home[:, None]
         row, cell = np.nonzero(near)
         return home, row, cell
 
+    def reached(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of all cells in which a point nearer than the threshold may live, the own one included."""
+        return np.nonzero(self._near(x)[1])
+
+    def _near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = squared_distances(x, self.pivots)
+        home = d.argmin(1)
+        apart = np.sqrt(squared_distances(self.pivots[home], self.pivots))
+        return home, d - d[np.arange(len(x)), home][:, None] <= 2.0 * (self.threshold + _SLACK) * apart + _SLACK + 4.0 * noise(x, self.pivots)
+
     def batches(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
         step = max(1, _AT_ONCE // len(self.pivots))
         table = pa.Table.from_batches([batch])
@@ -146,7 +155,7 @@ def _sample(points: DataFrame, n: int, dim: int, chunk: int) -> np.ndarray:
     return matrix(head["vec"])
 
 
-def _apart(x: np.ndarray, gap: float) -> np.ndarray:
+def apart_rows(x: np.ndarray, gap: float) -> np.ndarray:
     """Rows of ``x`` that are at least ``gap`` from all rows kept before them: pivots closer
     than the threshold would split a crowded place without separating any of it."""
     kept = np.empty_like(x)
@@ -158,6 +167,13 @@ def _apart(x: np.ndarray, gap: float) -> np.ndarray:
     return kept[:n]
 
 
+def split_cost(homes: np.ndarray, visits: np.ndarray, chunk: int) -> float:
+    """Price of comparing cells with so many rows that live there and that visit."""
+    pairs = (homes * homes / 2 + homes * visits).sum()
+    shipped = (homes * np.ceil((homes + visits) / chunk) + visits * np.ceil(homes / chunk)).sum()
+    return pairs + _ROW_COST * shipped
+
+
 def choose_cells(points: DataFrame, threshold: float, n: int, chunk: int) -> Cells:
     """Try numbers of pivots on a bounded sample and keep the cheapest."""
     first = points.select(F.size("vec")).first()
@@ -165,7 +181,7 @@ def choose_cells(points: DataFrame, threshold: float, n: int, chunk: int) -> Cel
         return Cells(np.zeros((1, 1)), threshold)
     sample = _sample(points, n, first[0], chunk)
     half = min(TEST_ROWS, len(sample) // 2)
-    test, pool = sample[:half], _apart(sample[half:], threshold)
+    test, pool = sample[:half], apart_rows(sample[half:], threshold)
     best, best_cost = Cells(sample[:1], threshold), n * n / 2.0 + _ROW_COST * n * (n / chunk)
     p = 2
     while p <= len(pool):
@@ -173,9 +189,7 @@ def choose_cells(points: DataFrame, threshold: float, n: int, chunk: int) -> Cel
         home, row, cell = cells.place(test)
         h = np.bincount(home, minlength=p) / len(test) * n
         v = np.bincount(cell, minlength=p) / len(test) * n
-        compared = (h * h / 2 + h * v).sum()
-        shipped = (h * np.ceil((h + v) / chunk) + v * np.ceil(h / chunk)).sum()
-        cost = compared + _ROW_COST * shipped
+        cost = split_cost(h, v, chunk)
         if cost < best_cost:
             best, best_cost = cells, cost
         p *= 2
@@ -382,15 +396,9 @@ def _nearest(left, right, within, weighted, t) -> pa.Table:
 _MODES = {"pairs": (_pairs, PAIRS_SCHEMA), "forest": (_forest, FOREST_SCHEMA), "nearest": (_nearest, NEAREST_SCHEMA)}
 
 
-def near_join(points: DataFrame, threshold: float, mode: str = "pairs", weighted: bool = False, chunk: int | None = None, cells: Cells | None = None) -> DataFrame:
-    """Join ``points (id, weight, vec)`` with itself below ``threshold`` (strictly).
-
-    ``points`` is read a few times, so callers hand in a stored table.
-    """
+def compared(copies: DataFrame, threshold: float, mode: str, weighted: bool) -> DataFrame:
+    """Work off ``copies (cell, l, r, role, id, weight, vec)``, one group per pair of chunks."""
     work, schema = _MODES[mode]
-    n = points.count()
-    chunk = chunk or chunk_rows(points, n)
-    placed = _count_cells(points, cells or choose_cells(points, threshold, n, chunk), chunk)
 
     def group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         role = table["role"].to_numpy()
@@ -398,4 +406,20 @@ def near_join(points: DataFrame, threshold: float, mode: str = "pairs", weighted
         within = key[1].as_py() == key[2].as_py()
         return work(left, right, within, weighted, threshold)
 
-    return _place_copies(points, placed).groupBy("cell", "l", "r").applyInArrow(group, schema)
+    return copies.groupBy("cell", "l", "r").applyInArrow(group, schema)
+
+
+def near_join(points: DataFrame, threshold: float, mode: str = "pairs", weighted: bool = False, chunk: int | None = None, cells: Cells | None = None) -> DataFrame:
+    """Join ``points (id, weight, vec)`` with itself below ``threshold`` (strictly).
+
+    ``points`` is read a few times, so callers hand in a stored table. Where the pivots one driver can hold leave
+    cells of more than ``CROWDED_CHUNKS`` chunks, cells are split in further rounds (``pivottree``).
+    """
+    n = points.count()
+    chunk = chunk or chunk_rows(points, n)
+    placed = _count_cells(points, cells or choose_cells(points, threshold, n, chunk), chunk)
+    if cells is None and len(placed.pivots) > 1 and placed.home_chunks.max() > CROWDED_CHUNKS:
+        from .pivottree import near_join_tree
+
+        return near_join_tree(points, threshold, mode, weighted, chunk)
+    return compared(_place_copies(points, placed), threshold, mode, weighted)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as X
 from ..functions.vectors import l2_normalize
-from ..operators import cellsearch, changes, clusters, components, context, encode, extract, maintenance, mergetree, nearjoin, numbering, report, search, ward
+from ..operators import cellsearch, changes, clusters, components, context, encode, extract, maintenance, mergetree, nearjoin, numbering, pivottree, report, search, ward
 from ..session import cut, shared_dir, spread
 from ..sources import files as S
 from ..sources import manifest as M
@@ -432,6 +432,12 @@ def eps_join(spark, sf):
     return _rounded(nearjoin.near_join(_embedding_points(spark, sf), EMBEDDING_DISTANCE), "distance")
 
 
+def eps_join_tree(spark, sf):
+    """The same pairs by three levels of pivots, four below each crowded cell."""
+    pairs = pivottree.near_join_tree(_embedding_points(spark, sf), EMBEDDING_DISTANCE, chunk=ROUTE_CHUNK, fan_out=4, levels=3, always=True)
+    return _rounded(pairs, "distance")
+
+
 def connected_components(spark, sf):
     forest = nearjoin.near_join(_embedding_points(spark, sf), EMBEDDING_DISTANCE, "forest")
     return components.connected_components(forest)
@@ -611,6 +617,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         hit_snippets,
         search_markdown,
         eps_join,
+        eps_join_tree,
         connected_components,
         nearest_neighbour,
         dup_vectors,

@@ -328,6 +328,7 @@ SQL: dict[str, str] = {
         chr(10) ORDER BY rank) AS body FROM shown GROUP BY query_id)
         SELECT query_id, '# Search Results' || chr(10) || coalesce(chr(10) || body, '') AS markdown FROM asked LEFT JOIN blocks USING (query_id)""",
     "eps_join": f"WITH {_PAIRS} SELECT a, b, round(distance, 6) AS distance FROM pairs",
+    "eps_join_tree": f"WITH {_PAIRS} SELECT a, b, round(distance, 6) AS distance FROM pairs",
     "connected_components": f"""WITH RECURSIVE {_PAIRS}, edges AS (SELECT a AS u, b AS v FROM pairs UNION ALL SELECT b, a FROM pairs),
         reach(node, other) AS (SELECT u, u FROM edges UNION SELECT r.node, e.v FROM reach r JOIN edges e ON r.other = e.u)
         SELECT node, min(other) AS component FROM reach GROUP BY node""",
