@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as X
 from ..functions.vectors import l2_normalize
-from ..operators import cellsearch, changes, clusters, components, context, encode, extract, maintenance, mergetree, nearjoin, numbering, pivottree, report, search, ward
+from ..operators import cellsearch, changes, clusters, components, context, encode, extract, maintenance, mergetree, nearjoin, numbering, pivottree, report, search, treepieces, ward
 from ..session import cut, shared_dir, spread
 from ..sources import files as S
 from ..sources import manifest as M
 from ..sources.store import ModelMismatch, VectorStore
-from ..streaming import ingest_stream
+from ..streaming import change_stream, ingest_stream
 from . import derived as D
 from .cluster import cluster as store_clusters
 from .clusterstate import ClusterState
@@ -31,6 +31,7 @@ EMBEDDING_DISTANCE = 1.2
 ROUTE_CHUNK = 64
 SEARCH_CELLS = 64
 TEXT_DISTANCE = 0.2
+TREE_PIECE = 96
 TREE_CUTS = (1.0, 1.1, EMBEDDING_DISTANCE)
 IDENTICAL_DISTANCE = 1e-6
 
@@ -137,6 +138,12 @@ def extract_functions(spark, sf):
     return extract.explode_functions(extract.functions_per_file(_files_with_trees(spark, sf)))
 
 
+def extract_in_pieces(spark, sf):
+    """Every tree in pieces of a few nodes, each looked at by a task of its own."""
+    entries = M.usable_entries(D.manifest(spark, sf))
+    return treepieces.extract_functions_in_pieces(entries, D.sources(spark, sf), D.trees(spark, sf), chars=TREE_PIECE)
+
+
 def extract_nested(spark, sf):
     return extract.explode_functions(extract.functions_per_file(_files_with_trees(spark, sf), ("method_definition",)))
 
@@ -271,6 +278,20 @@ def stream_ingest(spark, sf):
     return store.vectors().select("path", "ord", "line")
 
 
+def stream_changes(spark, sf):
+    """Versions of all files out of order, in three starts of one query: of every fourth document the second version
+    comes before the first, and in the end all second versions come again."""
+    landing, out, progress = (_scratch(spark, name) for name in ("landing", "changes", "progress"))
+    first, second = (D.snapshot(spark, sf, v).select("path", "md5", "mtime", (F.col("doc_id") % 4 == 0).alias("turned")) for v in (1, 2))
+    turned = F.col("turned")
+    for files in (second.where(turned).unionByName(first.where(~turned)), first.where(turned).unionByName(second.where(~turned)), second):
+        files.drop("turned").write.mode("append").parquet(landing)
+        arriving = spark.readStream.schema(files.drop("turned").schema).parquet(landing)
+        sink = change_stream(arriving).writeStream.format("parquet").option("path", out).option("checkpointLocation", progress)
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 def encode_once(spark, sf):
     """Two versions with vectors kept by content: every text that was encoded, by which batch, its vector
     in brief, and how many functions in force use it."""
@@ -579,6 +600,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         change_plan_force,
         deleted_files,
         extract_functions,
+        extract_in_pieces,
         extract_nested,
         extract_malformed,
         dedent_text,
@@ -595,6 +617,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         compacted_view,
         model_switch,
         stream_ingest,
+        stream_changes,
         encode_once,
         orphan_vectors,
         orphan_prune,

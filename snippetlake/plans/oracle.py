@@ -250,6 +250,7 @@ SQL: dict[str, str] = {
         count(*) AS files FROM plan GROUP BY 1""",
     "deleted_files": f"WITH {_SNAPSHOTS} SELECT path FROM v1 WHERE path NOT IN (SELECT path FROM v2)",
     "extract_functions": f"{_EXTRACT} SELECT path, ord, line, end_line, text FROM fn",
+    "extract_in_pieces": f"{_EXTRACT} SELECT path, ord, line, end_line, text FROM fn",
     "extract_nested": f"""{_EXTRACT} SELECT path, row_number() OVER (PARTITION BY path ORDER BY ord) - 1 AS ord, line, end_line, text
         FROM fn WHERE type = 'method_definition'""",
     "extract_malformed": f"""{_EXTRACT} SELECT path, count(fn.path) AS functions FROM files LEFT JOIN fn USING (path) GROUP BY path""",
@@ -276,6 +277,18 @@ SQL: dict[str, str] = {
     "model_switch": f"""WITH {_SNAPSHOTS}, {_functions('v2')} SELECT 'token-hash-64' AS model_name, 64 AS dim, count(*) AS next_vector_id,
         count(*) AS vectors, 0 AS first_id, count(*) - 1 AS last_id FROM fn""",
     "stream_ingest": f"WITH {_LIVE_VIEW} SELECT path, ord, line FROM live",
+    "stream_changes": f"""WITH RECURSIVE {_SNAPSHOTS},
+        arrived AS (SELECT 1 AS start, path, md5, micros FROM v2 WHERE doc_id % 4 = 0 UNION ALL SELECT 1, path, md5, micros FROM v1 WHERE doc_id % 4 <> 0
+          UNION ALL SELECT 2, path, md5, micros FROM v1 WHERE doc_id % 4 = 0 UNION ALL SELECT 2, path, md5, micros FROM v2 WHERE doc_id % 4 <> 0
+          UNION ALL SELECT 3, path, md5, micros FROM v2),
+        turns AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY start) AS n FROM arrived),
+        judged AS (SELECT path, n, md5, micros, 'new' AS status, 1 AS version, md5 AS kept_md5, micros AS kept_micros FROM turns WHERE n = 1
+          UNION ALL SELECT path, n, md5, micros, status, version + CASE status WHEN 'changed' THEN 1 ELSE 0 END,
+            CASE status WHEN 'changed' THEN md5 ELSE kept_md5 END, CASE status WHEN 'changed' THEN micros ELSE kept_micros END
+          FROM (SELECT t.*, j.version, j.kept_md5, j.kept_micros, CASE WHEN t.micros < j.kept_micros - 100000 THEN 'late'
+              WHEN t.md5 = j.kept_md5 AND t.micros <= j.kept_micros + 100000 THEN 'unchanged' ELSE 'changed' END AS status
+            FROM judged j JOIN turns t ON t.path = j.path AND t.n = j.n + 1))
+        SELECT path, md5, micros, status, version FROM judged""",
     "encode_once": f"""WITH {_SNAPSHOTS}, {_functions('v1', 'f1')},
         todo AS (SELECT doc_id, path, content, md5, status FROM plan WHERE status <> 'unchanged'), {_functions('todo', 'f2')},
         batches AS (SELECT text, min(batch) AS batch FROM (SELECT text, 0 AS batch FROM f1 UNION ALL SELECT text, 1 FROM f2) GROUP BY text),
