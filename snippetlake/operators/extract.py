@@ -13,8 +13,9 @@ from ..functions.trees import FUNCTION_NODE_TYPES, node_spans
 from .joins import left_join_present
 
 
-def functions_per_file(files: DataFrame, node_types: Sequence[str] = FUNCTION_NODE_TYPES) -> DataFrame:
-    """Replace ``content`` and ``tree`` by ``functions``, an array in pre-order.
+def functions_per_file(files: DataFrame, node_types: Sequence[str] = FUNCTION_NODE_TYPES, spans: Column | None = None) -> DataFrame:
+    """Replace ``content`` and ``tree`` by ``functions``, an array in pre-order. ``spans`` of the
+    wanted nodes stand in for the tree where they are known.
 
     A narrow projection: one row per file stays one row, and only the cut-out texts
     leave it. A file without a well-formed tree gets an empty array.
@@ -25,7 +26,7 @@ def functions_per_file(files: DataFrame, node_types: Sequence[str] = FUNCTION_NO
         return let(
             F.size(lines),
             lambda n: F.transform(
-                F.filter(node_spans(F.col("tree"), node_types), lambda s: s["line"] < n),
+                F.filter(node_spans(F.col("tree"), node_types) if spans is None else spans, lambda s: s["line"] < n),
                 lambda s: F.struct(
                     s["line"].alias("line"),
                     s["end_line"].alias("end_line"),
