@@ -18,6 +18,7 @@ from ..operators import cellsearch, changes, clusters, components, context, enco
 from ..session import cut, shared_dir, spread
 from ..sources import files as S
 from ..sources import manifest as M
+from ..sources.listed import ListedFiles
 from ..sources.store import ModelMismatch, VectorStore
 from ..streaming import change_stream, ingest_stream
 from . import derived as D
@@ -32,6 +33,7 @@ ROUTE_CHUNK = 64
 SEARCH_CELLS = 64
 TEXT_DISTANCE = 0.2
 TREE_PIECE = 96
+LISTED_STRETCH = 4096
 TREE_CUTS = (1.0, 1.1, EMBEDDING_DISTANCE)
 IDENTICAL_DISTANCE = 1e-6
 
@@ -77,6 +79,16 @@ def source_rejects(spark, sf):
     return S.undecodable(D.raw_files(spark, sf))
 
 
+def listed_files(spark, sf):
+    """Every manifest entry through the reader of listed files, over files written from the documents."""
+    folder = _scratch(spark, "listed")
+    entries = D.landed_files(spark, sf, folder)
+    spark.dataSource.register(ListedFiles)
+    read = spark.read.format("listed_files").option("root", f"{folder}/files").option("stretch", LISTED_STRETCH).load(entries)
+    below = [F.concat(F.lit("/proj"), F.substring(c, len(f"{folder}/files") + 1, 1000)).alias(c) for c in ("path", "tree_path")]
+    return read.select(*below, "content", "md5", F.col("tree").isNotNull().alias("has_tree"), "reason")
+
+
 def path_normalize(spark, sf):
     url = F.regexp_extract("url", r"^https?://([^/]*)/(.*)$", 1), F.regexp_extract("url", r"^https?://([^/]*)/(.*)$", 2)
     raw = F.concat(F.lit("/srv//./"), url[0], F.lit("/tmp/.././"), url[1])
@@ -590,6 +602,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         manifest_summary,
         manifest_config,
         source_decode,
+        listed_files,
         source_rejects,
         path_normalize,
         file_fingerprint,

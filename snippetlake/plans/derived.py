@@ -56,6 +56,30 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(document_path().alias("path"), F.concat(ended.cast("binary"), spoilt).alias("bytes"), F.timestamp_seconds(F.lit(BASE_SECONDS) + i).alias("mtime"))
 
 
+def landed_files(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """Documents and their trees as files below ``folder``, written inside tasks, and a manifest of one entry a
+    line beside them, whose path is returned."""
+    raw = raw_files(spark, sf_dir).select(F.substring("path", 7, 1000).alias("name"), "bytes")
+    tree = trees(spark, sf_dir).select(F.substring("path", 7, 1000).alias("name"), F.col("tree").cast("binary").alias("bytes"))
+
+    def land(batches):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            for file, content in zip(batch["name"].to_pylist(), batch["bytes"].to_pylist()):
+                system.create_dir(f"{root}/files/{file.rpartition('/')[0]}")
+                with system.open_output_stream(f"{root}/files/{file}") as out:
+                    out.write(content)
+            yield batch.select(["name"])
+
+    raw.unionByName(tree).mapInArrow(land, "name string").write.format("noop").mode("overwrite").save()
+    entries = manifest(spark, sf_dir)
+    relative = [F.regexp_replace(c, r"^/proj/(\./lib/\.\./)?", "./x/../").alias(n) for c, n in (("path", "path"), ("tree_path", "tree_sitter_file"))]
+    entries.select(*relative).write.json(f"{folder}/manifest")
+    return f"{folder}/manifest"
+
+
 def tree_text(n_lines: Column, doc_id: Column) -> Column:
     """Parse tree of a document with ``n_lines`` lines."""
 

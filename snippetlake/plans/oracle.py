@@ -214,6 +214,15 @@ SQL: dict[str, str] = {
     "source_decode": f"""SELECT {_DOC_PATH} AS path, text AS content, (1704067200 + doc_id) * 1000000 AS mtime_micros,
         md5(CASE doc_id % 4 WHEN 0 THEN replace(text, chr(10), chr(13) || chr(10)) WHEN 1 THEN replace(text, chr(10), chr(13)) ELSE text END) AS md5
         FROM documents WHERE doc_id % 29 <> 0""",
+    "listed_files": f"""SELECT CASE WHEN doc_id % 23 <> 0 THEN {_DOC_PATH} END AS path, CASE WHEN doc_id % 19 <> 0 THEN {_DOC_PATH} || '.tree' END AS tree_path,
+        CASE WHEN doc_id % 23 <> 0 AND doc_id % 29 <> 0 THEN text END AS content,
+        CASE WHEN doc_id % 23 <> 0 AND doc_id % 29 <> 0 THEN md5(CASE doc_id % 4 WHEN 0 THEN replace(text, chr(10), chr(13) || chr(10))
+          WHEN 1 THEN replace(text, chr(10), chr(13)) ELSE text END) END AS md5,
+        doc_id % 23 <> 0 AND doc_id % 29 <> 0 AND doc_id % 19 <> 0 AS has_tree,
+        CASE WHEN doc_id % 23 = 0 THEN 'no path' WHEN doc_id % 29 = 0 THEN 'not valid UTF-8' WHEN doc_id % 19 = 0 THEN 'no tree path' END AS reason
+        FROM documents
+        UNION ALL SELECT '/proj/' || source || '/gone.py', '/proj/' || source || '/gone.py.tree', NULL, NULL, false, 'source not found'
+        FROM (SELECT DISTINCT source FROM documents)""",
     "source_rejects": f"SELECT {_DOC_PATH} AS path, 'not valid UTF-8' AS reason FROM documents WHERE doc_id % 29 = 0",
     "model_encode": """WITH raw AS (SELECT doc_id, [length(text), length(text) - length(replace(text, ' ', '')), 1]::DOUBLE[] AS v FROM documents),
         unit AS (SELECT doc_id, [(x / sqrt(list_dot_product(v, v)))::FLOAT::DOUBLE FOR x IN v] AS u FROM raw)
