@@ -26,18 +26,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row of the smallest id stays; of rows that repeat an id and its
-    text one stays; rows without an id or without words stay. A key of id and text names the decision, so an
-    id that names several texts loses only those that have a near duplicate."""
+    """Of each group of near duplicates the row of the smallest id stays, one without an id only if none has
+    one; of rows that repeat an id and its text one stays, nameless ones too if they have words; rows without
+    an id and without words stay. A key of id and text names the decision, so an id that names several texts
+    loses only those that have a near duplicate."""
     ship(spark)
-    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias("own_key")
+    named = F.col("doc_id").isNotNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    key = F.when(named, F.xxhash64("doc_id", "text")).alias("own_key")
     keyed = docs.select(key, "doc_id", "text")
     linked = neardup.components(keyed, percent=80, scheme=neardup.SCHEME_80, key="own_key")
     grouped = linked.where("id is not null").select(F.col("id").alias("own_key"), "component_id").distinct()
     several = cut(grouped.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id"))
     members = cut(grouped.join(several, "component_id").join(keyed.select("own_key", "doc_id").distinct(), "own_key"))
     # written first: the join below then has plain exchanges on both sides, and a large component can be split
-    first = cut(members.groupBy("component_id").agg(F.min(F.struct("doc_id", "own_key")).alias("first")))
+    first = cut(members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "own_key")).alias("first")))
     gone = cut(members.join(first, "component_id").where(F.col("own_key") != F.col("first.own_key")).select(F.col("own_key").alias("gone_key")))
     again = cut(keyed.where("own_key is not null").groupBy(F.col("own_key").alias("again_key")).agg(F.count("*").alias("n")).where("n > 1").select("again_key"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key)
