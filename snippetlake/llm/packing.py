@@ -2,7 +2,7 @@
 
 Documents become token pieces: whole sequences of ``size`` ids, and one shorter rest. The histogram of
 rest lengths, in steps of ``STEP`` ids, has at most ``size / STEP`` rows whatever the input; a linear
-program over patterns (which lengths share a sequence) is solved on it, new patterns being priced by a
+program over patterns (which lengths share a sequence) is solved on it to its end, new patterns being priced by a
 knapsack dynamic program. The solution's full patterns are rounded down, what is left over is packed
 largest first into further patterns, and pieces take the slots of their length in rank order, numbered
 in pieces of each class, so a length that a third of all documents share is no single task.
@@ -29,8 +29,9 @@ from snippetlake.session import cut
 SIZE = 2048
 #: Lengths are told apart in steps of so many ids: more classes, less padding, a longer program.
 STEP = 4
-#: Rounds of column generation; any round's solution can be rounded, later ones waste less.
-ROUNDS = 400
+#: Counts are raised by up to this share of a piece, each class by another, so that no basis is degenerate and
+#: every round of the program gains; rounding takes it back.
+TILT = 1e-7
 #: Columns of the program that leave more room than this, in steps, are not rounded.
 SLACK = 0
 #: Stretches a class is ranked in, at most; their totals are what is broadcast.
@@ -90,21 +91,22 @@ def _knapsack(value: np.ndarray, weight: np.ndarray, room: int) -> tuple[float,
     return float(best[room]), counts
 
 
-def plan(histogram: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+def plan(histogram: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
     """Patterns ({class: pieces}, copies) that take exactly the pieces of ``histogram``.
 
-    Class c needs c units of a sequence's ``room``. Revised simplex; columns are those of the
-    largest-first packing while they pay, then priced by the knapsack.
+    Class c needs c units of a sequence's ``room``. Revised simplex until no column pays; columns are
+    those of the largest-first packing while they pay, then priced by the knapsack.
     """
     weight = np.array(sorted(c for c, n in histogram.items() if n), np.int64)
     if not len(weight):
         return []
     demand = np.array([histogram[int(c)] for c in weight], float)
     columns = np.diag(room // weight).astype(float)
-    inverse, x = np.diag(1 / np.diag(columns)), demand / np.diag(columns)
+    tilted = demand + TILT * (1 + np.random.default_rng(0).permutation(len(weight))) / len(weight)
+    inverse, x = np.diag(1 / np.diag(columns)), tilted / np.diag(columns)
     greedy = _decreasing(demand.astype(np.int64), weight, room)
     seeds = np.array([[p.get(int(c), 0) for c in weight] for p, _ in greedy], float)
-    for _ in range(rounds):
+    while True:
         prices = inverse.sum(0)
         seeded = (seeds * prices).sum(1)
         value, counts = float(seeded.max()), seeds[int(seeded.argmax())]
@@ -130,9 +132,7 @@ def plan(histogram: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tup
         if copies > 0 and room - int(weight @ column) <= SLACK:
             left = left - copies * column
             patterns.append(({int(weight[k]): int(column[k]) for k in np.flatnonzero(used)}, copies))
-    rounded = patterns + _decreasing(left, weight, room)
-    # a program stopped early can be worse than what it was seeded with
-    return min(rounded, greedy, key=lambda plan: sum(copies for _, copies in plan))
+    return patterns + _decreasing(left, weight, room)
 
 
 def _decreasing(left: np.ndarray, weight: np.ndarray, room: int) -> list[tuple[dict[int, int], int]]:
