@@ -5,6 +5,9 @@ in it. The filter is a table of at most ``MAX_BLOCKS`` rows, so it can be broadc
 Pages whose bits are all set are *possible* hits; only these are shuffled, and a hash join with the
 list itself removes the false positives. Everything is DataFrame functions.
 
+Up to ``MAX_LITERAL_RULES`` rules are a literal of the plan. More, or a table of rules, are met by hash joins: every
+suffix of a host meets the lengths of its rules' paths, and the path's beginning of each such length the rules.
+
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is
 allowed; an empty list blocks nothing; null list entries are ignored; repeated rows are kept as they
 are; further columns of the inputs are neither read nor returned.
@@ -24,8 +27,8 @@ from snippetlake.session import cut
 MAX_BLOCKS = 1 << 16
 #: URLs a block when the list is short enough; about 12 bits a URL.
 URLS_A_BLOCK = 40
-#: Rules become a literal array in the plan.
-MAX_RULES = 1_000
+#: Rules up to this number become a literal array in the plan; more are joined.
+MAX_LITERAL_RULES = 1_000
 WORDS, PROBES = 8, 8
 #: Query parameters that do not name a page (fixed values).
 TRACKING = "(utm_[^=&]*|ref|gclid|fbclid)"
@@ -101,27 +104,48 @@ def possible(pages: DataFrame, url: str, filter_rows: DataFrame, blocks: int) ->
 def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """Struct (rule, verdict) of the longest rule that fits, or null. Of equally long ones the
     longer host wins, then block."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
     if not rules:
         return F.lit(None).cast("struct<rule:string,verdict:string>")
     table = F.array(*[F.struct(F.lit(r.host).alias("host"), F.lit(r.path).alias("path"), F.lit(r.verdict).alias("verdict")) for r in rules])
     fits = F.filter(table, lambda r: (host != "") & ((host == r.host) | F.endswith(host, F.concat(F.lit("."), r.host))) & F.startswith(path, r.path))
-    return F.array_max(
-        F.transform(
-            fits,
-            lambda r: F.struct(
-                (F.length(r.host) + F.length(r.path)).alias("n"),
-                F.length(r.host).alias("h"),
-                (r.verdict == "block").alias("b"),
-                F.concat(r.host, r.path).alias("rule"),
-                r.verdict.alias("verdict"),
-            ),
-        )
+    return F.array_max(F.transform(fits, lambda r: _weight(r.host, r.path, r.verdict)))
+
+
+def _weight(host: Column, path: Column, verdict: Column) -> Column:
+    """Greatest for the rule that wins."""
+    return F.struct(
+        (F.length(host) + F.length(path)).alias("n"),
+        F.length(host).alias("h"),
+        (verdict == "block").alias("b"),
+        F.concat(host, path).alias("rule"),
+        verdict.alias("verdict"),
     )
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RULES, key: str = "page_id", url: str = "url", max_blocks: int = MAX_BLOCKS) -> DataFrame:
+def fitting_rules(pairs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, best) of the distinct ``pairs`` (host, path) that a row of ``rules`` (verdict, host, path)
+    fits; as ``fitting_rule``, for any number of rules. Rows of rules with a null are ignored."""
+    named = cut(rules.select("verdict", F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).dropna().distinct())
+    lengths = named.select("rule_host", F.length("rule_path").alias("n")).distinct()
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    below = pairs.where("host <> ''").select("host", "path", F.explode(suffixes).alias("rule_host"))
+    begun = below.join(lengths, "rule_host").where(F.col("n") <= F.length("path"))
+    met = begun.withColumn("rule_path", F.expr("left(path, n)")).join(named, ["rule_host", "rule_path"])
+    best = F.max(_weight(F.col("rule_host"), F.col("rule_path"), F.col("verdict")))
+    return met.groupBy("host", "path").agg(best.alias("best"))
+
+
+def _ruled(parts: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= MAX_LITERAL_RULES:
+            return parts.withColumn("best", fitting_rule(F.col("host"), F.col("path"), rules))
+        rules = parts.sparkSession.createDataFrame(rules, "verdict string, host string, path string")
+    best = fitting_rules(parts.select("host", "path").distinct(), rules)
+    return parts.join(best, ["host", "path"], "left")
+
+
+def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] | DataFrame = RULES, key: str = "page_id", url: str = "url", max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """(key, host, path, rule, verdict) for every row of ``pages``.
 
     ``listed``: table with the URLs to block in its column ``url``, in any spelling. Where a rule
@@ -131,8 +155,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RULES, ke
     blocks = max(1, min(max_blocks, names.count() // URLS_A_BLOCK + 1))
     read = pages.select(F.col(key), F.col(url).alias("url"))
     parts = read.select(key, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("canonical"))
-    ruled = parts.withColumn("best", fitting_rule(F.col("host"), F.col("path"), rules))
-    probed = possible(ruled, "canonical", bloom(names, "listed", blocks), blocks)
+    probed = possible(_ruled(parts, rules), "canonical", bloom(names, "listed", blocks), blocks)
     pending = F.col("possible") & F.col("best").isNull()
     out = [key, "host", "path", F.col("best.rule").alias("rule")]
     settled = probed.where(~pending).select(*out, F.coalesce(F.col("best.verdict"), F.lit("allow")).alias("verdict"))

@@ -197,6 +197,17 @@ def test_plan_takes_all_and_wastes_little():
     assert sum(k for _, k in patterns) <= 1.02 * math.ceil(sum(c * n for c, n in histogram.items()) / 512)
 
 
+def test_program_is_solved_to_its_end():
+    """Half-sequence classes that largest-first packs badly, and counts with many ties."""
+    patterns = packing.plan({260: 60, 250: 60, 200: 60, 56: 60, 6: 60}, 516)
+    assert sum(k for _, k in patterns) <= math.ceil(60 * (260 + 250 + 200 + 56 + 6) / 516) + 1
+    for n in (1, 2, 7):
+        histogram = {c: n for c in range(1, 513)}
+        patterns = packing.plan(histogram, 512)
+        assert all(sum(p.get(c, 0) * k for p, k in patterns) == n for c in histogram)
+        assert sum(k for _, k in patterns) <= math.ceil(n * 513 * 256 / 512) + 2
+
+
 def test_token_output(spark, sf):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got, at = {r["doc_id"]: r for r in rows(queries.op9_token_output(spark, sf))}, 0
@@ -327,6 +338,25 @@ def test_urls(spark, sf):
     assert got[5] == ("net/es/", "block") and got[6] == (None, "allow") and got[7] == got[8] == (None, "block")
 
 
+def test_rules_beyond_a_literal_are_joined(spark):
+    """Many rules by joins decide as the same rules of a literal, and as a plain loop."""
+    rng = random.Random(14)
+    hosts = ["com", "a.com", "b.a.com", "c.b.a.com", "net", "x.net", "", "com."]
+    paths = ["", "/", "/e", "/en", "/en/", "/en/x", "/fr/", "/fr/é"]
+    rules = [urlfilter.Rule(rng.choice(["allow", "block"]), h, p) for h in hosts for p in paths if rng.random() < 0.5]
+    urls = [f"http://{h}{p}{t}" for h in [*hosts, "xa.com", "B.a.com", "org"] for p in paths for t in ("", "zz", "?q")] + [None, "none"]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(None, urls[30])], "page_id long, url string").repartition(4)
+    listed = pages.where("page_id % 7 = 0").select("url")
+    literal = sorted(urlfilter.judge(pages, listed, rules).collect(), key=str)
+    table = spark.createDataFrame([*rules, urlfilter.Rule("block", None, "/")], "verdict string, host string, path string")
+    assert sorted(urlfilter.judge(pages, listed, table).collect(), key=str) == literal
+    many = rules + [urlfilter.Rule("block", f"h{i}.org", f"/{i}") for i in range(urlfilter.MAX_LITERAL_RULES)]
+    assert sorted(urlfilter.judge(pages, listed, many).collect(), key=str) == literal
+    for r in literal:
+        fit = [(len(u.host) + len(u.path), len(u.host), u.verdict == "block", u.host + u.path) for u in rules if r.host and (r.host == u.host or r.host.endswith("." + u.host)) and r.path.startswith(u.path)]
+        assert r.rule == (max(fit)[3] if fit else None)
+
+
 def test_full_filter_blocks_nothing_else(spark):
     """One block for many URLs: everything is a possible hit, and the exact join still decides."""
     pages = spark.range(500).select(F.col("id").alias("page_id"), F.format_string("http://h%d.org/x", "id").alias("url"))
@@ -424,7 +454,15 @@ def test_pipeline_of_repeated_and_nameless_rows(spark):
     text = "the old town lies on the river and it was built for the trade of salt"
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "A.")], "doc_id long, text string").selectExpr("*", "'en' AS lang", "null AS source", "9L AS n_chars")
     kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.language_id(spark, docs, ""), "")
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2"]
+    # nameless rows are told apart by their texts; one of a group stays where none has an id, and so do all without words
+    rng = random.Random(13)
+    other, third = sentence(rng, 60), sentence(rng, 60)
+    made = [(None, other), (None, other), (None, other + " end"), (None, third), (None, ""), (None, ""), (None, None), (4, text), (None, text)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(made, "doc_id long, text string"), "").collect()
+    texts_kept = [r.text for r in kept]
+    assert len(kept) == 6 and [r.doc_id for r in kept if r.text == text] == [4]
+    assert sum(t in (other, other + " end") for t in texts_kept) == 1 and texts_kept.count(third) == 1 and texts_kept.count("") == 2
 
 
 def test_an_id_of_two_texts_loses_only_the_near_duplicate(spark):
