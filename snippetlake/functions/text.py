@@ -105,6 +105,27 @@ def function_text(lines: Column, line: Column, path: Column) -> Column:
     return F.coalesce(text, F.concat(F.lit(UNREADABLE), path))
 
 
+def lines_between(content: Column, starts: Column, first: Column, last: Column) -> Column:
+    """Lines ``first`` to ``last`` (exclusive) with their newlines, cut out of the bytes by the offsets of line
+    starts; ``starts`` ends with the length of the text, so it has one entry more than there are lines."""
+    start = F.get(starts, first)
+    piece = F.substring(content.cast("binary"), start + 1, F.get(starts, last) - start).cast("string")
+    return F.when(last > first, piece).otherwise(F.when(starts.isNotNull(), F.lit("")))
+
+
+def context_range(content: Column, starts: Column, line: Column) -> tuple[Column, Column]:
+    """``context_end`` and ``context_snippet`` by offsets of line starts."""
+    end = F.least(line + CONTEXT_LINES + 1, F.size(starts) - 1)
+    return end, rstrip(lines_between(content, starts, context_start(line), end))
+
+
+def function_range(content: Column, starts: Column, line: Column, path: Column) -> Column:
+    """``function_text`` by offsets of line starts."""
+    start = F.greatest(line, F.lit(0))
+    end = F.least(start + FUNCTION_LINES, F.size(starts) - 1)
+    return F.coalesce(rstrip(lines_between(content, starts, start, end)), F.concat(F.lit(UNREADABLE), path))
+
+
 def indent(text: Column, prefix: str = "    ") -> Column:
     """Put ``prefix`` before every line that is not blank."""
     return F.regexp_replace(text, r"(?m)^(?=[^\n]*[^\s\p{Z}\x1c-\x1f\x85])", prefix)

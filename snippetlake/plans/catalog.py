@@ -173,6 +173,12 @@ def function_text_50(spark, sf):
     return context.with_function_text(fns, D.sources(spark, sf))
 
 
+def function_text_ranges(spark, sf):
+    """The same by byte ranges, from offsets of line starts that are written once."""
+    fns = extract_functions(spark, sf).select("path", "ord", "line")
+    return context.with_function_text(fns, cut(S.with_line_starts(D.sources(spark, sf).select("path", "content"))))
+
+
 # Vectors and ids
 
 
@@ -448,6 +454,13 @@ def hit_snippets(spark, sf):
     return hits.select("query_id", "rank", "path", "start_line", "end_line", "snippet")
 
 
+def hit_snippet_ranges(spark, sf):
+    """The same by byte ranges, from offsets of line starts that are written once."""
+    sources = cut(S.with_line_starts(D.sources(spark, sf).select("path", "content")))
+    hits = context.with_snippets(_hits(spark, sf), sources)
+    return hits.select("query_id", "rank", "path", "start_line", "end_line", "snippet")
+
+
 def search_markdown(spark, sf):
     hits = context.with_snippets(_hits(spark, sf), D.sources(spark, sf))
     return report.search_markdown(hits, D.vector_queries(spark, sf))
@@ -618,6 +631,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         extract_malformed,
         dedent_text,
         function_text_50,
+        function_text_ranges,
         vector_normalize,
         hash_encode,
         model_encode,
@@ -651,6 +665,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         search_blank,
         search_mismatch,
         hit_snippets,
+        hit_snippet_ranges,
         search_markdown,
         eps_join,
         eps_join_tree,

@@ -267,6 +267,8 @@ SQL: dict[str, str] = {
         FOR x IN string_split(content, chr(10))] AS part FROM src) SELECT path, {_dedented('part')} AS text FROM parts""",
     "function_text_50": f"""{_EXTRACT}, texts AS (SELECT path, ord, line, {_rstrip(_TEXT50.format(n=_readable('ls')))} AS text FROM fn)
         SELECT *, len(string_split(text, chr(10))) AS line_count FROM texts""",
+    "function_text_ranges": f"""{_EXTRACT}, texts AS (SELECT path, ord, line, {_rstrip(_TEXT50.format(n=_readable('ls')))} AS text FROM fn)
+        SELECT *, len(string_split(text, chr(10))) AS line_count FROM texts""",
     "vector_normalize": """SELECT vec_id, pos, round((x / sqrt(list_dot_product(v, v)))::FLOAT::DOUBLE, 6) AS value FROM (
         SELECT vec_id, [(y * 3)::FLOAT::DOUBLE FOR y IN embedding] AS v FROM embeddings) t, unnest(v) WITH ORDINALITY AS u(x, p), LATERAL (SELECT p - 1 AS pos)""",
     "hash_encode": f"WITH {_encoded('documents', 'doc_id', 'enc')} SELECT doc_id AS vector_id, bucket, round(value, 6) AS value FROM enc",
@@ -344,6 +346,7 @@ SQL: dict[str, str] = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, vector_id) AS rank FROM scored)
         SELECT item_id AS query_id, rank, round(score, 6) AS score, vector_id, path, line FROM ranked JOIN ids USING (vector_id) WHERE rank <= 5""",
     "hit_snippets": f"{_SNIPPETS} SELECT query_id, rank, path, start_line, end_line, snippet FROM shown",
+    "hit_snippet_ranges": f"{_SNIPPETS} SELECT query_id, rank, path, start_line, end_line, snippet FROM shown",
     "search_markdown": f"""{_SNIPPETS}, blocks AS (SELECT query_id, string_agg(
         '## Result ' || rank || ' (score: ' || printf('%.3f', score) || ')' || chr(10) || '**File:** `' || path || ':' || (line + 1) || '`'
         || chr(10) || chr(10) || '```' || {_LANG} || ':' || start_line || ':' || end_line || chr(10) || snippet || chr(10) || '```' || chr(10),
