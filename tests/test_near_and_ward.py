@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snippetlake.operators import clusters as C
-from snippetlake.operators import numbering
+from snippetlake.operators import numbering, ward
 from snippetlake.operators.components import connected_components
 from snippetlake.operators.nearjoin import Cells, choose_cells, near_join
 from snippetlake.operators.numbering import with_offsets
@@ -237,3 +237,48 @@ def test_offsets_over_a_tree_of_ranges(spark, monkeypatch, broadcast):
         assert got[name] == total
         total += n
     assert seen[0][0] == 3 and 48 <= seen[0][1] <= 64
+
+
+def crowd(n, arms):
+    """One point and ``n`` others around it, each on an axis of its own (of ``arms``), no two alike."""
+    x = np.full((n + 1, arms), 0.05)
+    x[np.arange(1, n + 1), np.arange(n) % arms] += 0.1 + 0.01 * np.random.default_rng(5).random(n)
+    return x
+
+
+def test_solver_takes_a_crowd_in_by_chains(monkeypatch):
+    """The same merges as by rounds of mutual pairs, of which each would take one point in."""
+    x, ids = crowd(150, 150), np.arange(151)
+    chained = ward.solve_component(ids, np.ones(151, int), x, 0.2)
+    monkeypatch.setattr(ward, "STALLED", 0)
+    monkeypatch.setattr(ward, "AT_ONCE", 1000)
+    rounds = ward.solve_component(ids, np.ones(151, int), x, 0.2)
+    kept = rounds[0] == ids
+    for k, (a, b) in enumerate(zip(chained, rounds)):
+        assert np.array_equal(a[kept], b[kept]) if k == 3 else np.array_equal(a, b)
+    assert (rounds[5] > 0).sum() > 100
+
+
+def test_bounds_leave_what_others_may_change():
+    x = np.array([[0.0], [1.0], [2.5], [10.0]])
+    free = ward.solve_component(np.arange(4), np.ones(4, int), x, 5.0)
+    assert free[0].tolist() == [0, 0, 0, 3]
+    held = ward.solve_component(np.arange(4), np.ones(4, int), x, 5.0, np.array([9.0, 1.2, 9.0, 9.0]))
+    assert held[0].tolist() == [0, 0, 2, 3]
+
+
+def test_rounds_solve_a_crowd_in_groups(spark, monkeypatch):
+    """A crowd beyond what a task takes ends after few rounds, with the merges of the solver."""
+    x = crowd(120, 120)
+    rows = [(0, i, 1, v.tolist()) for i, v in enumerate(x)]
+    members = spark.createDataFrame(rows, "component long, id long, weight long, vec array<double>")
+    joins = []
+    plain = ward.near_join
+    monkeypatch.setattr(ward, "near_join", lambda *a, **k: joins.append(1) or plain(*a, **k))
+    got = ward.merge_rounds(members, 0.2, cap=10, group=60).toPandas().sort_values("id")
+    want = ward.solve_component(np.arange(len(x)), np.ones(len(x), int), x, 0.2)
+    assert got["cluster_id"].tolist() == want[0].tolist()
+    assert got["into"].fillna(-1).astype(int).tolist() == want[4].tolist()
+    np.testing.assert_allclose(got["height"].fillna(0), want[5], atol=1e-9)
+    np.testing.assert_allclose(got["leaf_height"], want[1], atol=1e-9)
+    assert len(joins) < 20
