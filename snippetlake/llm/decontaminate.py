@@ -148,10 +148,10 @@ def build(items: list[tuple[int, str]], statistics: Statistics | None = None) ->
 
 def _pairs(chunk: np.ndarray, term: np.ndarray, last: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (passage, term): a passage is a chunk and the one after it in the same text."""
-    own = np.unique(chunk * n_terms + term)
+    own = words.distinct(chunk * n_terms + term)
     chunk, term = own // n_terms, own % n_terms
     before = ~last[chunk - 1] & (chunk > 0)
-    both = np.unique(np.concatenate([own, (chunk[before] - 1) * n_terms + term[before]]))
+    both = words.distinct(np.concatenate([own, (chunk[before] - 1) * n_terms + term[before]]))
     return both // n_terms, both % n_terms
 
 
@@ -205,7 +205,7 @@ def _search(names: np.ndarray, bounds: np.ndarray, index: Index) -> list[tuple[i
     for (text, item), parts in sorted(best.items()):
         if text not in seen:
             own = names[bounds[text] : bounds[text + 1]]
-            seen = {text: (own, np.unique(words.sequences(own, GRAM)))}
+            seen = {text: (own, words.distinct(words.sequences(own, GRAM)))}
         own, grams = seen[text]
         parts = sorted(parts, reverse=True)
         tries = [(index.question[item], index.answer[item])]
