@@ -17,6 +17,9 @@ import pyarrow.compute as pc
 
 #: Distinct pieces remembered by one Python worker; the memo starts anew beyond that.
 MEMO_PIECES = 500_000
+#: Pieces that the library encodes as one text, with a token between them that none of them holds; the few that
+#: hold it, and those of a text whose marks do not come back one by one, are encoded alone.
+JOINED = 256
 #: Any white space but single spaces and line ends between other characters, and the cut mark itself.
 ODD = "\\x00|[ \\n][ \\n]|[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: The same for a vocabulary that drops white space: only the cut mark is in the way.
@@ -32,6 +35,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker per core already
         self.library = Tokenizer.from_file(path)
         self.keeps_space = self.library.normalizer is None
+        self.mark = "\n" if self.keeps_space else " | "
+        self.mark_id = self.library.encode(self.mark, add_special_tokens=False).ids[0]
         self._restart()
 
     def _restart(self) -> None:
@@ -40,18 +45,30 @@ class Encoder:
         self.starts, self.used = np.zeros(1 << 16, np.int64), 0
 
     def _learn(self, pieces: list[str]) -> None:
-        flat, sizes = [], []
-        for e in self.library.encode_batch_fast(pieces, add_special_tokens=False):
-            ids = e.ids
-            flat.extend(ids)
-            sizes.append(len(ids))
+        mark = self.mark.strip(" ")
+        plain = [x for x in pieces if x and mark not in x and not x.isspace()]
+        rows = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        flat, count, fits = [], [], []
+        for row, e in zip(rows, self.library.encode_batch_fast([self.mark.join([*x, ""]) for x in rows], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint16)
+            ends = np.flatnonzero(ids == self.mark_id)
+            if len(ends) == len(row) and ends[-1] == len(ids) - 1:
+                fits += row
+                count.append(np.diff(ends, prepend=-1) - 1)
+                flat.append(np.delete(ids, ends))
+        known = set(fits) if len(fits) < len(pieces) else ()
+        alone = [x for x in pieces if x not in known] if len(fits) < len(pieces) else []
+        for e in self.library.encode_batch_fast(alone, add_special_tokens=False):
+            ids = np.array(e.ids, np.uint16)
+            count.append(np.array([len(ids)], np.int64))
+            flat.append(ids)
+        pieces, flat, sizes = fits + alone, np.concatenate(flat), np.concatenate(count)
         n, m = len(self.codes), len(flat)
         while self.used + m > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + len(pieces) > len(self.sizes):
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        sizes = np.array(sizes, np.int64)
         self.ids[self.used : self.used + m] = flat
         self.sizes[n : n + len(pieces)] = sizes
         self.starts[n : n + len(pieces)] = self.used + np.cumsum(sizes) - sizes
