@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from snippetlake.llm import langid, toxicity
 
@@ -162,3 +163,19 @@ def test_score_of_whole_texts(spark, monkeypatch):
     for i in range(len(made)):
         part = codes[bounds[i] : bounds[i + 1]]
         assert got[i] == pytest.approx(1 / (1 + math.exp(-(logit(own[part], start[part], model) + 0.3))), abs=1e-4)
+
+
+def test_every_labelled_text_is_trained_on(spark, monkeypatch):
+    """Beyond one group the mean of the groups' models is taken, each from the counts of all texts."""
+    monkeypatch.setattr(toxicity, "GROUP", 60)
+    made = [(i, f"plain word {'vile' if i % 4 == 0 else 'kind'} number{i % 7} " * 3, "en", int(i % 4 == 0)) for i in range(600)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, toxic int")
+    seen = []
+    mean = toxicity._mean_model
+    monkeypatch.setattr(toxicity, "_mean_model", lambda rows, groups: seen.append((rows.count(), groups)) or mean(rows, groups))
+    usable = F.col("doc_id") % 3 != 0
+    model = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"), usable)
+    assert len(seen) == 1 and seen[0][0] > 300 and seen[0][1] > 2
+    got = {r.id: r.score >= 0.5 for r in toxicity.score(docs, model).collect()}
+    assert all(got[i] == bool(y) for i, _, _, y in made)
+    assert 0 < model.thresholds["en"] < 1
