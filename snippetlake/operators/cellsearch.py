@@ -4,7 +4,7 @@ Vectors are kept in cells around pivots from a bounded sample; a cell knows its
 norm, which bound the inner product of a query with anything in it. Queries visit cells by falling bound, a few in
 the first round and more in each later one, until the next bound cannot reach the query's k-th score. A round ships
 queries to the cells they visit, and vectors of those cells only; a crowded cell is cut into chunks and a crowded
-visit into blocks, so no group holds more than ``BLOCK_ROWS`` of either. Without structure every cell is visited and the
+visit into blocks, so no group holds more than ``BLOCK_ROWS`` vectors and ``_block_rows`` queries. Without structure every cell is visited and the
 result is still exact.
 
 Defined cases: no vectors or no queries give no hits; ties go to the lower ``vector_id``, as in ``search``; vectors
@@ -33,6 +33,9 @@ from .nearjoin import squared_distances
 MAX_CELLS, CELL_BYTES = 4096, 32 << 20
 #: Cells that a query visits in the first round, and how many times more in each later one.
 FIRST_CELLS, GROWTH = 2, 4
+#: Queries of a group: so many times the vectors at most, as far as they fit so many bytes. Vectors are shipped once for
+#: every block of queries, so larger blocks ship fewer.
+QUERY_TIMES, QUERY_BYTES = 4, 64 << 20
 _AT_ONCE = 1 << 22
 #: Slack of bounds, above the noise of sums and the rounding of scores.
 _SLACK = 1e-8
@@ -155,10 +158,16 @@ def _visits(index: CellIndex, asked: DataFrame, visited: int, some: int) -> Data
     return asked.select("query_id", "vec", "kth").mapInArrow(choose, f"query_id long, vec {vec}, cell int")
 
 
+def _block_rows(dim: int) -> int:
+    """Queries of one group."""
+    return max(search.BLOCK_ROWS, min(QUERY_TIMES * search.BLOCK_ROWS, QUERY_BYTES // (8 * max(1, dim))))
+
+
 def _scored(index: CellIndex, visits: DataFrame, crowd: dict[int, int], k: int, payload: list[str], out: T.StructType) -> DataFrame:
     """The best ``k`` of each visited chunk for each query that visits it."""
     size = search.BLOCK_ROWS
-    plan = [(c, max(1, -(-int(index.rows[c]) // size)), -(-n // size)) for c, n in crowd.items()]
+    block = _block_rows(index.centres.shape[1])
+    plan = [(c, max(1, -(-int(index.rows[c]) // size)), -(-n // block)) for c, n in crowd.items()]
     sizes = F.broadcast(visits.sparkSession.createDataFrame(plan, "cell int, chunks int, blocks int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     chunk = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
