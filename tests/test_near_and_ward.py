@@ -1,13 +1,15 @@
 """Near join, components, Ward cut and cluster reports against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from snippetlake.operators import clusters as C
 from snippetlake.operators import numbering, ward
 from snippetlake.operators.components import connected_components
-from snippetlake.operators.nearjoin import Cells, choose_cells, near_join
+from snippetlake.operators import nearjoin
+from snippetlake.operators.nearjoin import Cells, choose_cells, chunk_rows, near_join
 from snippetlake.operators.numbering import with_offsets
 from snippetlake.operators.report import cluster_report
 from snippetlake.operators.ward import ward_clusters
@@ -282,3 +284,43 @@ def test_rounds_solve_a_crowd_in_groups(spark, monkeypatch):
     np.testing.assert_allclose(got["height"].fillna(0), want[5], atol=1e-9)
     np.testing.assert_allclose(got["leaf_height"], want[1], atol=1e-9)
     assert len(joins) < 20
+
+
+def test_small_chunks_grow_with_the_table(spark):
+    """A crowded cell ships a row once per chunk, so there are 32 chunks of a table at most while memory allows."""
+    points = spark.createDataFrame([(1, [0.0] * 64)], "id long, vec array<float>")
+    assert [chunk_rows(points, n, 64) for n in (10, 2048, 6400, 102_400)] == [64, 64, 200, 3200]
+    assert chunk_rows(points, 10**9, 64) == nearjoin.CHUNK_BYTES // (8 * 64)
+
+
+def test_more_pivots_on_larger_tables(spark):
+    x = np.random.default_rng(5).normal(size=(3000, 4)).astype("float32")
+    points = point_table(spark, x)
+    few, many = (nearjoin._sample(points, n, 4, 8192) for n in (3000, 1_000_000))
+    assert len(few) == 2 * nearjoin.TEST_ROWS and len(many) == nearjoin.TEST_ROWS + 2000
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-7, 1e25])
+@pytest.mark.parametrize("weighted", [False, True])
+def test_single_precision_only_names_candidates(scale, weighted):
+    """Copies, pairs at the threshold and lengths whose squares are beyond single precision, in sparse and crowded blocks."""
+    rng = np.random.default_rng(3)
+    for spread in (1.0, 1e-4):
+        x = rng.normal(size=(90, 8)) * spread + 1.0
+        x[80:] = x[:10]
+        x *= scale
+        side = lambda rows: nearjoin._Side(pa.table({"id": rows, "weight": 1 + rows % 3, "vec": pa.array(list(x[rows]), pa.list_(pa.float64()))}))
+        left, right = side(np.arange(50)), side(np.arange(50, 90))
+        ids = np.arange(90)
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        if weighted:
+            d = d * np.sqrt(nearjoin.ward_factor(1.0 + ids[:, None] % 3, 1.0 + ids[None] % 3))
+        d[50:] = np.inf  # rows of left with one another and with right
+        d[ids[:, None] >= ids[None]] = np.inf
+        for t in (np.quantile(d[np.isfinite(d)], q) for q in (0.01, 0.2, 0.9)):
+            found = nearjoin._pairs(left, right, True, weighted, t)
+            assert set(zip(found["a"].to_pylist(), found["b"].to_pylist())) == {(i, j) for i, j in np.argwhere(d < t)}
+            best = nearjoin._nearest(left, right, True, weighted, t)
+            least = np.minimum(d, d.T).min(1)
+            got = dict(zip(best["id"].to_pylist(), best["h2"].to_pylist()))
+            assert set(got) == set(np.flatnonzero(least < t)) and np.allclose(np.sqrt([got[i] for i in sorted(got)]), least[least < t])
