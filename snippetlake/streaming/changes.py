@@ -12,26 +12,42 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.changes import MTIME_TOLERANCE_MICROS
 
 CHANGE_SCHEMA = "path string, md5 string, micros long, status string, version int"
-_STATE = "md5 string, micros long, version int"
+#: Paths share a state by hash: calling Python for a group costs far more than judging a path.
+BUCKETS = 1 << 14
+_STATE = "path array<string>, md5 array<string>, micros array<long>, version array<int>"
+
+
+def _judged(old: tuple | None, md5: str, micros: int) -> tuple[str, int]:
+    """Status and version in force of a fingerprint against the ``(md5, micros, version)`` in force before."""
+    if old is None:
+        return "new", 1
+    old_md5, old_micros, version = old
+    if micros < old_micros - MTIME_TOLERANCE_MICROS:
+        return "late", version
+    if md5 == old_md5 and micros <= old_micros + MTIME_TOLERANCE_MICROS:
+        return "unchanged", version
+    return "changed", version + 1
 
 
 def _judge(key: tuple, arrived: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The newest of the versions that arrived together, against the one in force."""
-    newest = max((int(frame.micros.max()), frame.md5[frame.micros == frame.micros.max()].max()) for frame in arrived)
-    micros, md5 = newest
-    if not state.exists:
-        status, version = "new", 1
-    else:
-        old_md5, old_micros, version = state.get
-        if micros < old_micros - MTIME_TOLERANCE_MICROS:
-            status = "late"
-        elif md5 == old_md5 and micros <= old_micros + MTIME_TOLERANCE_MICROS:
-            status = "unchanged"
-        else:
-            status, version = "changed", version + 1
-    if status in ("new", "changed"):
-        state.update((md5, micros, version))
-    yield pd.DataFrame({"path": [key[0]], "md5": [md5], "micros": [micros], "status": [status], "version": [version]})
+    """The newest of the versions of each path that arrived together, against the one in force."""
+    newest: dict[str, tuple[int, str]] = {}
+    for frame in arrived:
+        for path, md5, micros in zip(frame.path.tolist(), frame.md5.tolist(), frame.micros.tolist()):
+            newest[path] = max(newest.get(path, (micros, md5)), (micros, md5))
+    known: dict[str, tuple[str, int, int]] = {}
+    if state.exists:
+        paths, *rest = state.get
+        known = dict(zip(paths, zip(*rest)))
+    out, accepted = [], False
+    for path, (micros, md5) in newest.items():
+        status, version = _judged(known.get(path), md5, micros)
+        if status in ("new", "changed"):
+            known[path], accepted = (md5, micros, version), True
+        out.append((path, md5, micros, status, version))
+    if accepted:
+        state.update((list(known), *(list(column) for column in zip(*known.values()))))
+    yield pd.DataFrame(out, columns=["path", "md5", "micros", "status", "version"])
 
 
 def change_stream(files: DataFrame) -> DataFrame:
@@ -41,8 +57,9 @@ def change_stream(files: DataFrame) -> DataFrame:
     ``changed``, ``unchanged``, or ``late`` if a newer one is in force already. ``version`` counts those accepted.
     As in the change plan of tables, times within 0.1 s are equal, and an unchanged file keeps its stored time.
 
-    State is one fingerprint a path, spread by path; contents never enter it. A path with very many versions in a
-    batch is folded in portions. Rows without a path, a digest or a time say nothing and are left out.
+    State is one fingerprint a path, kept in buckets of paths by hash, whose number is fixed since a checkpoint depends on
+    it; contents never enter it. A path with very many versions in a batch is folded in portions. Rows without a path, a digest or a time say nothing and are left out.
     """
     narrow = files.select("path", "md5", F.unix_micros("mtime").alias("micros")).dropna()
-    return narrow.groupBy("path").applyInPandasWithState(_judge, CHANGE_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
+    bucketed = narrow.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(BUCKETS)))
+    return bucketed.groupBy("bucket").applyInPandasWithState(_judge, CHANGE_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)

@@ -2,11 +2,12 @@
 
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from snippetlake.session import shared_dir
-from snippetlake.streaming import change_stream
+from snippetlake.streaming import change_stream, changes
 
 SCHEMA = "path string, md5 string, seconds double"
 
@@ -41,3 +42,30 @@ def test_a_hot_path_is_folded_to_one_row(feed):
     rows = [("hot", f"{i:05d}", 1.0 + i % 7) for i in range(30_000)] + [("cold", "x", 1.0)]
     last = max(digest for path, digest, seconds in rows if seconds == 7.0)
     assert feed(rows) == [("cold", "x", 1_000_000, "new", 1), ("hot", last, 7_000_000, "new", 1)]
+
+
+def test_paths_that_share_a_state(feed, monkeypatch):
+    """All paths in one bucket: each keeps its own fingerprint, and one call judges all that arrive."""
+    monkeypatch.setattr(changes, "BUCKETS", 1)
+    first = feed([(f"p{i}", f"x{i}", 10.0 + i) for i in range(50)])
+    assert sorted(r[3:] for r in first) == [("new", 1)] * 50
+    second = feed([(f"p{i}", "y" if i % 2 else f"x{i}", 70.0) for i in range(40)] + [("q", "z", 1.0)])
+    assert sorted(r[3:] for r in set(second) - set(first)) == [("changed", 2)] * 40 + [("new", 1)]
+    third = feed([(f"p{i}", "late", 9.0) for i in range(50)])
+    assert {r[0]: r[3:] for r in set(third) - set(second)} == {f"p{i}": ("late", 2 if i < 40 else 1) for i in range(50)}
+
+
+def test_one_call_for_many_paths():
+    """The function that Spark calls for a key takes every path that arrived under it."""
+
+    class State:
+        exists, kept = False, None
+
+        def update(self, value):
+            self.kept = value
+
+    frames = [pd.DataFrame({"path": ["a", "b", "a"], "md5": ["1", "2", "3"], "micros": [5, 6, 4]})] * 2
+    state = State()
+    rows = pd.concat(changes._judge((0,), iter(frames), state))
+    assert rows.values.tolist() == [["a", "1", 5, "new", 1], ["b", "2", 6, "new", 1]]
+    assert state.kept == (["a", "b"], ["1", "2"], [5, 6], [1, 1])
