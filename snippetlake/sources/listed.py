@@ -29,6 +29,8 @@ _ARROW = pa.schema(
     [(name, pa.timestamp("us", "UTC") if name == "mtime" else pa.string()) for name in ("path", "tree_path", "content", "md5", "mtime", "tree", "reason")]
 )
 STRETCH_BYTES = 1 << 20
+#: Stretches beyond which those asked for grow, up to ``STRETCH_BYTES``: a task costs more than reading a few entries.
+MOST_STRETCHES = 1024
 #: Bytes of text after which a batch is handed on.
 BATCH_BYTES = 16 << 20
 BATCH_ROWS = 1024
@@ -113,7 +115,8 @@ class ListedReader(DataSourceReader):
         if info.type == fs.FileType.Directory:
             files = [f for f in system.get_file_info(fs.FileSelector(inner)) if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
         base = self.manifest[: len(self.manifest) - len(inner)] if self.manifest.endswith(inner) else ""
-        return [Stretch(base + f.path, at, min(at + self.stretch, f.size)) for f in files for at in range(0, f.size, self.stretch)]
+        step = max(self.stretch, min(STRETCH_BYTES, -(-sum(f.size for f in files) // MOST_STRETCHES)))
+        return [Stretch(base + f.path, at, min(at + step, f.size)) for f in files for at in range(0, f.size, step)]
 
     def lines(self, part: Stretch) -> Iterator[bytes]:
         system, inner = _located(part.path)

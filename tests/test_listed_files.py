@@ -84,3 +84,14 @@ def test_empty_and_missing_manifests(spark, tmp_path):
         ListedReader({"path": str(tmp_path / "none")}).partitions()
     spark.dataSource.register(ListedFiles)
     assert spark.read.format("listed_files").load(str(tmp_path / "empty")).count() == 0
+
+
+def test_short_stretches_grow_with_the_manifest(tmp_path):
+    """No more tasks than ``MOST_STRETCHES`` or one for each ``STRETCH_BYTES``, and every line in one of them."""
+    lines = [json.dumps({"path": f"{i}.py"}) for i in range(20_000)]
+    (tmp_path / "manifest").write_text("\n".join(lines))
+    reader = ListedReader({"path": str(tmp_path / "manifest"), "stretch": "64"})
+    parts = reader.partitions()
+    assert len(parts) <= listed.MOST_STRETCHES + 1
+    assert [line.decode() for part in parts for line in reader.lines(part)] == lines
+    assert len(ListedReader({"path": str(tmp_path / "manifest"), "stretch": "4096"}).partitions()) == -(-(tmp_path / "manifest").stat().st_size // 4096)
