@@ -47,6 +47,10 @@ THRESHOLD, FREQUENT = 0.5, 0.5
 QUESTION, ANSWER, GRAM = 0.6, 0.6, 5
 #: Bound of the item text of one index, which every task gets.
 SHARD_BYTES = 8 << 20
+#: Bound of the greatest weights that are gathered at once to bound passages.
+BOUND_BYTES = 4 << 20
+#: Postings that are followed at once.
+BOUND_POSTINGS = 1 << 18
 
 
 class Statistics(NamedTuple):
@@ -155,6 +159,40 @@ def _pairs(chunk: np.ndarray, term: np.ndarray, last: np.ndarray, n_terms: int)
     return both // n_terms, both % n_terms
 
 
+def _reached(index: Index, term: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, block) whose bound reaches the threshold, of passages whose rare terms start at ``start``; the greatest
+    weights of about ``BOUND_BYTES`` are gathered at once, since all of a slice would be many times its text."""
+    pairs = max(1, BOUND_BYTES // (index.block_max.itemsize * len(index.tail)))
+    ends = np.append(start, len(term))
+    cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, len(term), pairs)), len(start)))
+    found = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        bound = np.add.reduceat(index.block_max[term[ends[a] : ends[b]]], start[a:b] - ends[a], axis=0) + index.tail
+        p, block = np.nonzero(bound >= THRESHOLD - 1e-4)
+        found.append((p + a, block))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _scored(index: Index, row: np.ndarray, term: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, float]]:
+    """(passage * segments + segment, score) of what is retrieved, from the terms of each passage in order. The postings
+    of about ``BOUND_POSTINGS`` are followed at once, and those of a passage always together."""
+    count = index.starts[term + 1] - index.starts[term]
+    opens = np.flatnonzero(np.diff(row, prepend=-1))
+    before, ends = (np.cumsum(count) - count)[opens], np.append(opens, len(row))
+    cuts = np.unique(np.append(np.searchsorted(before, np.arange(0, count.sum(), BOUND_POSTINGS)), len(opens)))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        own = slice(ends[a], ends[b])
+        n = count[own]
+        posting = np.repeat(index.starts[term[own]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        of = np.repeat(row[own], n)
+        segment = index.segments[posting]
+        ok = blocks[of, segment // BLOCK]
+        pair, where = np.unique(of[ok] * len(index.item) + segment[ok], return_inverse=True)
+        score = np.bincount(where, index.weights[posting[ok]])
+        found = np.flatnonzero(score >= THRESHOLD - 1e-6)
+        yield from zip(pair[found].tolist(), score[found].tolist(), strict=True)
+
+
 def _search(names: np.ndarray, bounds: np.ndarray, index: Index) -> list[tuple[int, int, float, float, float]]:
     """(text, item, score, question share, answer share) of the verified matches in the flat texts."""
     known = np.array(sorted(index.vocabulary), np.uint64)
@@ -174,8 +212,7 @@ def _search(names: np.ndarray, bounds: np.ndarray, index: Index) -> list[tuple[i
         return []
     # passages by their rare terms, then block by block
     distinct, start = np.unique(passage, return_index=True)
-    bound = np.add.reduceat(index.block_max[rare_term], start, axis=0) + index.tail
-    p, block = np.nonzero(bound >= THRESHOLD - 1e-4)
+    p, block = _reached(index, rare_term, start)
     if not len(p):
         return []
     wanted = np.zeros(first[-1] + 1, bool)
@@ -187,20 +224,12 @@ def _search(names: np.ndarray, bounds: np.ndarray, index: Index) -> list[tuple[i
     blocks = np.zeros((len(distinct), len(index.tail)), bool)
     blocks[p, block] = True
     row = np.searchsorted(distinct, passage)
-    count = index.starts[terms + 1] - index.starts[terms]
-    posting = np.repeat(index.starts[terms] - np.cumsum(count) + count, count) + np.arange(count.sum())
-    of = np.repeat(row, count)
-    segment = index.segments[posting]
-    ok = blocks[of, segment // BLOCK]
     n_segments = len(index.item)
-    pair, where = np.unique(of[ok] * n_segments + segment[ok], return_inverse=True)
-    score = np.bincount(where, index.weights[posting[ok]])
-    found = np.flatnonzero(score >= THRESHOLD - 1e-6)
     best: dict[tuple[int, int], list[tuple[float, int]]] = {}
-    for f in found:
-        text = int(np.searchsorted(first, distinct[pair[f] // n_segments], side="right")) - 1
-        number = int(pair[f] % n_segments)
-        best.setdefault((text, int(index.item[number])), []).append((float(score[f]), number))
+    for pair, score in _scored(index, row, terms, blocks):
+        text = int(np.searchsorted(first, distinct[pair // n_segments], side="right")) - 1
+        number = pair % n_segments
+        best.setdefault((text, int(index.item[number])), []).append((score, number))
     out, seen = [], {}
     for (text, item), parts in sorted(best.items()):
         if text not in seen:

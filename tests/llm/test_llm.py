@@ -502,3 +502,26 @@ def test_borderline_group_against_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(4)
     name = linked({i: WORD.findall(t) for i, t in enumerate(made)}, 85)[1]
     assert {r.id: r.component_id for r in neardup.components(docs).collect()} == name
+
+
+def test_search_for_items_needs_no_more_memory_than_a_few_texts(monkeypatch):
+    """Postings and block weights of all passages of a slice at once took many times the text (pipeline, decontamination)."""
+    import tracemalloc
+
+    from snippetlake.llm import decontaminate as D
+
+    rng = np.random.default_rng(3)
+    draw = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 400, n))
+    items = [(i, f"{draw(70)}. {draw(20)}") for i in range(200)]
+    texts = [draw(400) for _ in range(150)]
+    texts[::10] = [f"{draw(100)} {items[k][1]} {draw(50)}" for k in range(15)]
+    index, flat = D.build(items), D._normal(pa.array(texts))
+    tracemalloc.start()
+    found = D._search(*flat, index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(10 * k, k) for k in range(15)} <= {x[:2] for x in found}
+    assert peak < 40 << 20
+    monkeypatch.setattr(D, "BOUND_BYTES", 1)
+    monkeypatch.setattr(D, "BOUND_POSTINGS", 1)
+    assert D._search(*flat, index) == found
